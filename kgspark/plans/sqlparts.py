@@ -27,3 +27,54 @@ def token_count(x: str) -> str:
 
 def contains_any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+BM25 = f"""
+ dtok AS (SELECT doc_id, {tokens("text")} AS toks FROM documents),
+ dlen AS (SELECT doc_id, len(toks) AS dl FROM dtok),
+ corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dlen),
+ qterm AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens("text")}) AS term FROM benchmark) GROUP BY ALL),
+ post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM dtok)
+          WHERE term IN (SELECT term FROM qterm) GROUP BY ALL),
+ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+ bm25 AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE
+            / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+          FROM post JOIN qterm USING (term) JOIN dfs USING (term) JOIN dlen USING (doc_id) CROSS JOIN corpus GROUP BY ALL)"""
+
+KEYWORD = (
+    BM25
+    + """,
+ keyword AS (SELECT query_id, doc_id, score AS raw_score, score / (score + 4.0::DOUBLE) AS score, rank FROM
+   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) WHERE rank <= 30)"""
+)
+
+
+def sparse(name: str, source: str, id_col: str, text: str = "text") -> str:
+    return f"""
+ {name}_n AS (SELECT id, slot, count(*)::DOUBLE AS n FROM (SELECT id, ('0x' || right(sha256(t), 4))::INT % 16384 AS slot
+   FROM (SELECT {id_col} AS id, unnest({tokens(text)}) AS t FROM {source})) GROUP BY ALL),
+ {name} AS (SELECT id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM {name}_n)"""
+
+
+DENSE = (
+    sparse("dvec", "documents", "doc_id")
+    + ","
+    + sparse("qvec", "benchmark", "item_id")
+    + """,
+ cosines AS (SELECT qvec.id AS query_id, dvec.id AS doc_id, sum(dvec.w * qvec.w) AS score FROM dvec JOIN qvec USING (slot) GROUP BY ALL),
+ dense AS (SELECT query_id, doc_id, score, rank FROM
+   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM cosines WHERE score >= 0.15)
+   WHERE rank <= 40)"""
+)
+
+FUSED = (
+    KEYWORD
+    + ","
+    + DENSE
+    + """,
+ chan AS (SELECT query_id, doc_id, rank, 'bm25' AS channel, CAST(NULL AS DOUBLE) AS v, score AS k FROM keyword
+          UNION ALL SELECT query_id, doc_id, rank, 'dense', score, NULL FROM dense),
+ rrf AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, max(v) AS vector_score, max(k) AS keyword_score,
+         string_agg(channel, ',' ORDER BY channel) AS channels FROM chan GROUP BY ALL),
+ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, doc_id) AS rank FROM rrf) WHERE rank <= 60)"""
+)
