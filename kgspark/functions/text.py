@@ -35,6 +35,11 @@ REDACTED_EMAIL, REDACTED_PHONE, REDACTED_ID = "[邮箱]", "[手机号]", "[证
 # --- end of fixed values ------------------------------------------------------------------
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Drop Unicode white space at both ends."""
     return F.regexp_replace(col, P.EDGE_WS, "")
