@@ -42,7 +42,7 @@ def bind(value: Column, body) -> Column:
 
 def strip(col: Column) -> Column:
     """Drop Unicode white space at both ends."""
-    return F.regexp_replace(col, P.EDGE_WS, "")
+    return F.btrim(col, F.lit(P.SPACE_CHARS))
 
 
 def squash(col: Column) -> Column:
@@ -127,6 +127,11 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [html.unescape(x) for x in v])
+
+
 def unescape_html(col: Column) -> Column:
     """HTML entities to characters; rows without '&' send no text to Python."""
     return F.coalesce(_unescape(F.when(col.contains("&"), col)), col)
@@ -157,26 +162,38 @@ def normalize_name(col: Column, inner_quotes: bool = False) -> Column:
     t = F.regexp_replace(t, rf"(?i)</br{P.WS}*>|<br{P.WS}*>|<br/>", "")
     t = F.translate(t, _FULL_WIDTH + _SYMBOLS[0], _HALF_WIDTH + _SYMBOLS[1])
     gap = f"{P.WS}+"
-    t = F.regexp_replace(t, f"(?<={P.HAN}){gap}(?={P.HAN})", "")
-    t = F.regexp_replace(t, f"(?<={P.HAN}){gap}(?={_ATTACHED})", "")
-    t = F.regexp_replace(t, f"(?<={_ATTACHED}){gap}(?={P.HAN})", "")
-    bare = t
-    for quoted in (r'(?s)^"([^"]*)"$', r"(?s)^'([^']*)'$|^'$", "(?s)^“([^“”]*)”$", "(?s)^‘([^‘’]*)’$", "(?s)^《([^《》]*)》$"):
-        bare = F.regexp_replace(bare, quoted, "$1")
-    t = F.when(F.length(t) >= 2, bare).otherwise(t)
+    here = f"(?={P.WS})"  # cheap first test
+    t = F.regexp_replace(t, f"{here}(?<={P.HAN}){gap}(?={P.HAN})", "")
+    t = F.regexp_replace(t, f"{here}(?<={P.HAN}){gap}(?={_ATTACHED})", "")
+    t = F.regexp_replace(t, f"{here}(?<={_ATTACHED}){gap}(?={P.HAN})", "")
+    # A lone quote inside double quotes goes with them.
+    t = F.regexp_replace(t, "^\"'\"$", "")
+    for quoted in ('^"([^"]*)"$', "^'([^']*)'$", "^“([^“”]*)”$", "^‘([^‘’]*)’$", "^《([^《》]*)》$"):
+        t = F.regexp_replace(t, quoted, "$1")
     if inner_quotes:
         t = F.translate(t, "“”‘’", "")
         t = F.regexp_replace(t, rf"['\"]+(?={P.HAN})|(?<={P.HAN})['\"]+", "")
         t = F.regexp_replace(t, r"\x{a0}", " ")
         t = F.regexp_replace(t, r"(?<=[^\p{Nd}])\x{202f}", " ")
-    t = strip(t)
-    short_number = (F.length(t) < 3) & t.rlike("^[0-9]+$")
-    dotted = (F.length(t) < 6) & t.rlike(r"^[\p{Nd}.]+$") & t.contains(".")
-    return F.when(short_number | dotted, F.lit("")).otherwise(t)
+    # One or two digits, or up to five digits and dots, are no name.
+    return F.regexp_replace(strip(t), r"^[0-9]{1,2}$|^(?=[\p{Nd}.]{1,5}$)\p{Nd}*\.[\p{Nd}.]*$", "")
+
+
+def clean_name(col: Column, inner_quotes: bool = True) -> Column:
+    """Name or description from sanitised text; HTML entities are already characters."""
+    return normalize_name(sanitize(col, escapes=False), inner_quotes)
+
+
+def unescape_fields(fields: Column) -> Column:
+    """HTML entities of a whole array; arrays without '&' send nothing to Python."""
+    escaped = F.exists(fields, lambda f: f.contains("&"))
+    return F.coalesce(_unescape_all(F.when(escaped, fields)), fields)
 
 
-def clean_name(col: Column, inner_quotes: bool = True, escapes: bool = True) -> Column:
-    return normalize_name(sanitize(col, escapes), inner_quotes)
+def computed_once(df, keep: list[str], **columns: Column):
+    """Project ``columns`` behind a generator, so that later filters do not evaluate them again."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
 
 
 def repair_delimiters(col: Column) -> Column:

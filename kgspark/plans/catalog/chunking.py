@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kgspark.functions import patterns as P
+from kgspark.functions.patterns import SQL as P
 from kgspark.functions import text as X
 from kgspark.operators import chunking as C
 from kgspark.plans import domain as D

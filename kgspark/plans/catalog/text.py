@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from kgspark.functions import ids, patterns as P, text as X
+from kgspark.functions import ids, text as X
+from kgspark.functions.patterns import SQL as P
 from kgspark.plans import sqlparts as S
 from kgspark.plans.registry import query, read
 

@@ -48,3 +48,68 @@ def vectors(spark, sf) -> DataFrame:
 def label_queries(spark, sf) -> DataFrame:
     """One query per label: the mean of its vectors."""
     return V.centroids(vectors(spark, sf), "label")
+
+
+# ---- graph: parts and suppliers, one record per order line, the order is the chunk --------
+
+_DAMAGE = (
+    "CASE l_linenumber WHEN 1 THEN '<|##|>' WHEN 2 THEN '<||>' WHEN 3 THEN '<|#>' WHEN 4 THEN '<#|>' "
+    "WHEN 5 THEN '<X#|>' WHEN 6 THEN '<|#| ' WHEN 7 THEN '||#||' ELSE '<|#|>' END"
+)
+_PART = "'Part ' || CAST(l_partkey AS STRING) || ' ' || p_name"
+_SUPPLIER = "'Supplier ' || CAST(l_suppkey AS STRING)"
+_QUANTITY = "CAST(l_quantity AS STRING)"
+FIRST_PASS = (
+    f"'entity' || {_DAMAGE} || {_PART} || {_DAMAGE} || p_type || {_DAMAGE} || 'lot ' || l_returnflag || ' of ' || {_QUANTITY} || chr(10) || "
+    f"'relation' || {_DAMAGE} || {_PART} || {_DAMAGE} || {_SUPPLIER} || {_DAMAGE} || p_brand || ',' || l_linestatus || {_DAMAGE} || "
+    f"CASE WHEN l_linenumber % 2 = 0 THEN {_QUANTITY} ELSE 'shipped ' || {_QUANTITY} || ' units' END"
+)
+SECOND_PASS = (
+    f"'entity<|#|>' || {_PART} || '<|#|>' || p_brand || '<|#|>lot ' || l_returnflag || ' of ' || {_QUANTITY} || ' at ' || CAST(l_extendedprice AS STRING) || chr(10) || "
+    f"'entity<|#|>' || {_SUPPLIER} || '<|#|>org<|#|>supplies ' || p_name"
+)
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def extractions(spark, sf) -> DataFrame:
+    """Model output per order and pass; an order has at most a handful of lines."""
+    lines = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.expr("p_partkey = l_partkey"))
+
+    def rendered(rows, expr, number):
+        listed = F.array_sort(F.collect_list(F.struct(*LINE_ORDER, F.expr(expr).alias("line"))))
+        text = F.concat(F.array_join(F.transform(listed, lambda r: r["line"]), "\n"), F.lit("\n<|COMPLETE|>"))
+        return rows.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(
+            F.lit(number).alias("pass"), text.alias("result"),
+            F.unix_timestamp(F.min("l_shipdate").cast("timestamp")).alias("created_at"),
+            F.concat(F.lit("src"), (F.first("l_orderkey") % 20).cast("string")).alias("file_path"),
+        )
+
+    return rendered(lines, FIRST_PASS, 0).unionByName(rendered(lines.filter("l_linenumber % 3 = 0"), SECOND_PASS, 1))
+
+
+def relation_records(spark, sf) -> DataFrame:
+    """One relation record per order line, without the detour over model text."""
+    li = read(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt"),
+        F.col("l_quantity").alias("weight"), F.concat_ws(",", "l_returnflag", "l_linestatus").alias("keywords"),
+        F.concat(F.lit("lot "), F.col("l_returnflag")).alias("description"),
+        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("created_at"), F.col("l_linenumber").alias("pos"),
+        F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("file_path"),
+    )
+
+
+def edges(spark, sf) -> DataFrame:
+    """Merged edges (src = part, tgt = supplier, weight, keywords)."""
+    from kgspark.operators.graph_build import merge_relations
+
+    return merge_relations(relation_records(spark, sf))
+
+
+def nodes(spark, sf) -> DataFrame:
+    """All parts and suppliers that occur in order lines, with a type."""
+    li = read(spark, sf, "lineitem")
+    parts = li.select(F.concat(F.lit("P"), "l_partkey").alias("name"), F.col("l_partkey").alias("p_partkey")).distinct()
+    parts = parts.join(read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("entity_type")), "p_partkey").drop("p_partkey")
+    suppliers = li.select(F.concat(F.lit("S"), "l_suppkey").alias("name"), F.lit("SUPPLIER").alias("entity_type")).distinct()
+    return parts.unionByName(suppliers)

@@ -1,6 +1,6 @@
 """Fragments shared by the SQL twins. Patterns come from the same constants as the Spark side."""
 
-from kgspark.functions import patterns as P
+from kgspark.functions.patterns import SQL as P
 
 
 def strip(x: str) -> str:
