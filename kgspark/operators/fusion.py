@@ -314,3 +314,92 @@ def context_blocks(items: DataFrame, fields: list[str], budget: int) -> DataFram
         F.concat_ws("\n", F.transform(ordered, lambda r: r["line"])).alias("block"),
         F.sum(token_count(F.col("line"))).alias("tokens"),
     )
+
+
+# ---- path bundles and parents -----------------------------------------------------------
+
+BUNDLE_CHARS = 1800
+FINAL_MIN, FINAL_MAX, PARENTS_MAX, PARENT_BUDGET, PER_DOCUMENT = 5, 8, 6, 4500, 3
+
+
+def child_limit(top_k: int) -> int:
+    limit = max(1, int(top_k or FINAL_MIN))
+    return limit if limit < FINAL_MIN else min(FINAL_MAX, limit)
+
+
+def path_bundles(hits: DataFrame) -> DataFrame:
+    """Chunks under one path form a bundle: (query_id, bundle, path_id, members, content, raw_score).
+
+    ``hits`` (query_id, rank, chunk_id, hop, path, content, raw_score); graph hits are at most a few
+    dozen per query. A hit joins the first anchor (more hops first, then rank) whose path begins
+    with the hit's path; hits without a path stand alone behind the others.
+    """
+    item = F.struct("rank", "chunk_id", "hop", F.coalesce("path", F.lit("")).alias("path"), "content", "raw_score")
+    listed = hits.filter(F.col("chunk_id").isNotNull()).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_h"))
+    anchors = F.array_sort(
+        F.transform(
+            F.filter("_h", lambda h: h["path"] != ""),
+            lambda h: F.struct((-h["hop"]).alias("o"), h["rank"].alias("r"), h["path"].alias("p")),
+        )
+    )
+    listed = listed.withColumn("_a", anchors)
+
+    def place(h):
+        fit = F.filter("_a", lambda a: F.startswith(a["p"], h["path"]))
+        own = F.struct(F.lit(1).alias("late"), F.lit(0).alias("o"), h["rank"].alias("r"), h["chunk_id"].cast("string").alias("p"))
+        first = F.get(fit, F.lit(0))
+        return F.when(h["path"] == "", own).otherwise(
+            F.struct(F.lit(0).alias("late"), first["o"].alias("o"), first["r"].alias("r"), first["p"].alias("p"))
+        )
+
+    placed = listed.select("query_id", F.explode(F.transform("_h", lambda h: F.struct(place(h).alias("b"), h.alias("h")))).alias("x"))
+    bundles = placed.groupBy("query_id", "x.b").agg(
+        F.array_sort(F.collect_list("x.h")).alias("members"), F.max(F.coalesce("x.h.raw_score", F.lit(0.0))).alias("raw_score")
+    )
+    text = F.array_join(F.transform("members", lambda m: F.substring(m["content"], 1, BUNDLE_CHARS)), "\n")
+    number = F.row_number().over(W.partitionBy("query_id").orderBy("b"))
+    return bundles.select(
+        "query_id", number.alias("bundle"), F.col("b.p").alias("path_id"), "members", F.substring(text, 1, BUNDLE_CHARS).alias("content"), "raw_score"
+    )
+
+
+def expand_bundles(admitted: DataFrame) -> DataFrame:
+    """Members of admitted bundles in bundle order, every chunk once."""
+    rows = admitted.select("query_id", "bundle", "path_id", "admission_score", F.posexplode("members").alias("_i", "m"))
+    order = [F.col("bundle").asc(), F.col("_i").asc()]
+    rows = rows.select("query_id", "bundle", "_i", "path_id", "admission_score", "m.*").drop("rank")
+    first = top_per_key(rows, ["query_id", "chunk_id"], order, 1, "_f")
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).drop("_f", "_i")
+
+
+def aggregate_parents(hits: DataFrame, max_children: int, max_parents: int = PARENTS_MAX, budget: int = PARENT_BUDGET) -> DataFrame:
+    """Choose chunks so that few parents carry them: (query_id, rank, doc_id, parent_id).
+
+    ``hits`` (query_id, rank, chunk_id, doc_id, parent_id, parent_tokens), at most RRF_CAP per
+    query. A new parent must fit into the token budget (the first always does); one document gives
+    at most three chunks when there are several.
+    """
+    parent = F.coalesce(F.nullif(F.col("parent_id").cast("string"), F.lit("")), F.col("chunk_id").cast("string"))
+    item = F.struct("rank", parent.alias("p"), F.col("doc_id").cast("string").alias("d"), F.col("parent_tokens").cast("int").alias("n"))
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_h"), F.countDistinct("doc_id").alias("_docs"))
+
+    def step(acc, h):
+        known = F.array_contains(acc["parents"], h["p"])
+        room = (F.size(acc["parents"]) < max_parents) & ((F.size(acc["parents"]) == 0) | (acc["used"] + h["n"] <= budget))
+        opened = ~known & room
+        parents = F.when(opened, F.concat(acc["parents"], F.array(h["p"]))).otherwise(acc["parents"])
+        of_doc = F.size(F.filter(acc["docs"], lambda d: d == h["d"]))
+        free = (F.size(acc["ranks"]) < max_children) & ((of_doc < PER_DOCUMENT) | (F.col("_docs") <= 1))
+        take = (known | opened) & free
+        return F.struct(
+            parents.alias("parents"), (acc["used"] + F.when(opened, h["n"]).otherwise(0)).alias("used"),
+            F.when(take, F.concat(acc["docs"], F.array(h["d"]))).otherwise(acc["docs"]).alias("docs"),
+            F.when(take, F.concat(acc["ranks"], F.array(h["rank"]))).otherwise(acc["ranks"]).alias("ranks"),
+        )
+
+    start = F.struct(
+        F.array().cast("array<string>").alias("parents"), F.lit(0).alias("used"),
+        F.array().cast("array<string>").alias("docs"), F.array().cast("array<int>").alias("ranks"),
+    )
+    chosen = listed.select("query_id", F.explode(F.aggregate("_h", start, step, lambda a: a["ranks"])).alias("rank"))
+    return hits.withColumn("parent_id", parent).join(chosen, ["query_id", "rank"]).select("query_id", "rank", "chunk_id", "doc_id", "parent_id")

@@ -9,21 +9,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the cluster names in ``spark.checkpoint.dir``.
+
+    Only local sessions, as in tests, may do without the setting.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="kgspark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="kgspark-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Reliable checkpoint: the result survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -48,57 +56,57 @@ def rank_in_groups(
     df: DataFrame, keys: list[str], order: list[Column], coarse: Column, name: str = "rn"
 ) -> DataFrame:
     """Exact 1-based row numbers per key. ``coarse`` ascends with ``order`` and cuts big keys."""
-    df = df.withColumn("_seg", coarse)
-    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    sizes = df.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy(*keys, "_seg").orderBy(*order))
-    ranked = df.withColumn("_rn", inside).join(offsets, [*keys, "_seg"])
-    return ranked.withColumn(name, F.col("_rn") + F.col("_before")).drop("_seg", "_rn", "_before")
+    df = df.withColumn("__seg", coarse)
+    before = W.partitionBy(*keys).orderBy("__seg").rowsBetween(W.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(W.partitionBy(*keys, "__seg").orderBy(*order))
+    ranked = df.withColumn("__rn", inside).join(offsets, [*keys, "__seg"])
+    return ranked.withColumn(name, F.col("__rn") + F.col("__before")).drop("__seg", "__rn", "__before")
 
 
 def running_sum(
     df: DataFrame, keys: list[str], order: list[Column], coarse: Column, value: Column, name: str
 ) -> DataFrame:
     """Exact running sum per key, current row included, with big keys cut by ``coarse``."""
-    df = df.withColumn("_seg", coarse).withColumn("_v", value)
-    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_s"))
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    upto = W.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = df.withColumn("_r", F.sum("_v").over(upto)).join(offsets, [*keys, "_seg"])
-    return summed.withColumn(name, F.col("_r") + F.col("_before")).drop("_seg", "_v", "_r", "_before")
+    df = df.withColumn("__seg", coarse).withColumn("__v", value)
+    before = W.partitionBy(*keys).orderBy("__seg").rowsBetween(W.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, "__seg").agg(F.sum("__v").alias("__s"))
+    offsets = sums.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    upto = W.partitionBy(*keys, "__seg").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = df.withColumn("__r", F.sum("__v").over(upto)).join(offsets, [*keys, "__seg"])
+    return summed.withColumn(name, F.col("__r") + F.col("__before")).drop("__seg", "__v", "__r", "__before")
 
 
 def previous_row(
     df: DataFrame, keys: list[str], order: list[Column], coarse: Column, value: Column, name: str
 ) -> DataFrame:
     """``lag`` per key across segments. ``value`` must not be NULL on any row."""
-    df = df.withColumn("_seg", coarse).withColumn("_v", value)
+    df = df.withColumn("__seg", coarse).withColumn("__v", value)
     sort = F.struct(*[o for o in order])
-    last = df.groupBy(*keys, "_seg").agg(F.max_by("_v", sort).alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_seg")
-    carried = last.withColumn("_carry", F.lag("_last").over(before)).drop("_last")
-    inside = F.lag("_v").over(W.partitionBy(*keys, "_seg").orderBy(*order))
-    joined = df.withColumn("_in", inside).join(carried, [*keys, "_seg"])
-    return joined.withColumn(name, F.coalesce("_in", "_carry")).drop("_seg", "_v", "_in", "_carry")
+    last = df.groupBy(*keys, "__seg").agg(F.max_by("__v", sort).alias("__last"))
+    before = W.partitionBy(*keys).orderBy("__seg")
+    carried = last.withColumn("__carry", F.lag("__last").over(before)).drop("__last")
+    inside = F.lag("__v").over(W.partitionBy(*keys, "__seg").orderBy(*order))
+    joined = df.withColumn("__in", inside).join(carried, [*keys, "__seg"])
+    return joined.withColumn(name, F.coalesce("__in", "__carry")).drop("__seg", "__v", "__in", "__carry")
 
 
 def next_value(
     df: DataFrame, keys: list[str], order: list[Column], coarse: Column, value: Column, name: str
 ) -> DataFrame:
     """First non-NULL ``value`` on a later row of the key, across segments."""
-    df = df.withColumn("_seg", coarse).withColumn("_v", value)
+    df = df.withColumn("__seg", coarse).withColumn("__v", value)
     sort = F.struct(*[o for o in order])
-    first = df.groupBy(*keys, "_seg").agg(
-        F.min_by("_v", F.when(F.col("_v").isNotNull(), sort)).alias("_first")
+    first = df.groupBy(*keys, "__seg").agg(
+        F.min_by("__v", F.when(F.col("__v").isNotNull(), sort)).alias("__first")
     )
-    after = W.partitionBy(*keys).orderBy("_seg").rowsBetween(1, W.unboundedFollowing)
-    carried = first.withColumn("_carry", F.first("_first", ignorenulls=True).over(after)).drop("_first")
-    later = W.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    inside = F.first("_v", ignorenulls=True).over(later)
-    joined = df.withColumn("_in", inside).join(carried, [*keys, "_seg"])
-    return joined.withColumn(name, F.coalesce("_in", "_carry")).drop("_seg", "_v", "_in", "_carry")
+    after = W.partitionBy(*keys).orderBy("__seg").rowsBetween(1, W.unboundedFollowing)
+    carried = first.withColumn("__carry", F.first("__first", ignorenulls=True).over(after)).drop("__first")
+    later = W.partitionBy(*keys, "__seg").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    inside = F.first("__v", ignorenulls=True).over(later)
+    joined = df.withColumn("__in", inside).join(carried, [*keys, "__seg"])
+    return joined.withColumn(name, F.coalesce("__in", "__carry")).drop("__seg", "__v", "__in", "__carry")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
