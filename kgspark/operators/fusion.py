@@ -220,16 +220,16 @@ def admit(hits: DataFrame, mode: str, ratio: float = 0.5, profile: str = "ci") -
 
 
 def by_threshold(hits: DataFrame, threshold: float | None) -> DataFrame:
-    """Keep hits that are relevant enough; without any trusted score a hit is dropped."""
+    """Keep hits that are relevant enough. A hit that admission could not judge is dropped."""
     if threshold is None:
         return hits
     limit = min(1.0, max(0.0, float(threshold)))
     if limit <= 0:
         return hits
-    have = [F.col(c) for c in ("admission_score", "calibrated_score", "rerank_score") if c in hits.columns]
-    value = F.coalesce(*have, absolute_relevance(F.col("score")))
-    decided = F.col("admission_score").isNotNull() if "admission_score" in hits.columns else F.lit(False)
-    return hits.filter(value >= F.when(decided, max(0.5, limit)).otherwise(limit))
+    if "admission_score" in hits.columns:
+        return hits.filter(F.col("admission_score") >= max(0.5, limit))
+    have = [F.col(c) for c in ("calibrated_score", "rerank_score") if c in hits.columns]
+    return hits.filter(F.coalesce(*have, absolute_relevance(F.col("score"))) >= limit)
 
 
 def post_rerank(chunks: DataFrame, cost: Column, min_score: float, top_k: int, budget: int) -> DataFrame:

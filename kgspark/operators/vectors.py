@@ -325,3 +325,42 @@ def manifest_mismatches(stored: DataFrame, wanted: dict) -> DataFrame:
         F.when(~F.col(name).eqNullSafe(F.lit(value)), F.lit(name)) for name, value in sorted(wanted.items())
     ]
     return stored.withColumn("mismatches", F.array_compact(F.array(*reasons)))
+
+
+SAMPLE_COSINE = 0.98
+
+
+def validate_index(rebuilt: DataFrame, source: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Is a rebuilt index fit to be published? One row with the findings and ``passed``.
+
+    ``rebuilt`` (doc_id, embedding, owner_id), ``source`` (doc_id) what has to be in it and
+    ``embedded`` (doc_id, embedding) freshly embedded rows to compare with.
+    """
+    n = F.count(F.lit(1))
+    size = rebuilt.agg(
+        n.alias("rows"), F.countDistinct(F.size("embedding")).alias("dimensions"),
+        F.count(F.when(F.coalesce(F.col("owner_id").cast("string"), F.lit("")) == "", 1)).alias("unowned"),
+    )
+    missing = source.select("doc_id").join(rebuilt.select("doc_id"), "doc_id", "left_anti").agg(n.alias("missing"))
+    pairs = rebuilt.select("doc_id", "embedding").join(embedded.select("doc_id", F.col("embedding").alias("_e")), "doc_id")
+    near = pairs.agg(F.min(F.coalesce(cosine(F.col("embedding"), F.col("_e")), F.lit(0.0))).alias("lowest_cosine"))
+    report = size.crossJoin(missing).crossJoin(near)  # one row each
+    good = (F.col("rows") > 0) & (F.col("dimensions") == 1) & (F.col("unowned") + F.col("missing") == 0)
+    return report.withColumn("passed", good & (F.coalesce("lowest_cosine", F.lit(0.0)) >= SAMPLE_COSINE))
+
+
+def rebuild_index(rebuilt: DataFrame, source: DataFrame, embedded: DataFrame, path: str) -> str:
+    """Write a new index version, check what was written, then publish it; returns its path.
+
+    The pointer is a one-row table that readers look up; it changes only after a passed check.
+    """
+    import uuid
+
+    spark = rebuilt.sparkSession
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    rebuilt.write.mode("errorifexists").parquet(version)
+    report = validate_index(spark.read.parquet(version), source, embedded).first()
+    if not report["passed"]:
+        raise ValueError(f"the rebuilt index failed its check: {report.asDict()}")
+    spark.createDataFrame([(version,)], "version STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    return version

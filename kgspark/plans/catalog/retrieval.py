@@ -435,3 +435,27 @@ def r26(spark, sf):
     answers = D.queries(spark, sf).select("query_id", answer.alias("answer"), F.lit("en").alias("kb_id"))
     known = _citations(spark, sf).join(D.docs(spark, sf).select("doc_id", "kb_id"), "doc_id").withColumn("version_id", F.lit(None).cast("string"))
     return R.validate_citations(answers, known)
+
+
+@query(
+    "V9_validate_index",
+    """SELECT count(*) AS rows, count(DISTINCT len(embedding)) AS dimensions, count(CASE WHEN label IS NULL THEN 1 END) AS unowned, CAST(0 AS BIGINT) AS missing,
+       1.0::DOUBLE AS lowest_cosine, true AS passed FROM embeddings""",
+)
+def v9(spark, sf):
+    v = D.vectors(spark, sf).withColumnRenamed("label", "owner_id")
+    scaled = v.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2.0)))
+    return V.validate_index(v, v.select("doc_id"), scaled).withColumn("lowest_cosine", F.round("lowest_cosine", 6))
+
+
+@query(
+    "U3_token_overlap",
+    f"""WITH {S.KEYWORD}, p AS (SELECT query_id, doc_id, list_distinct({S.tokens("b.text")}) AS q, {S.tokens("d.text")} AS t FROM keyword JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id))
+    SELECT query_id, doc_id, round(len(list_intersect(q, t)) / len(q)::DOUBLE, 6) AS relevance FROM p""",
+)
+def u3(spark, sf):
+    from kgspark.hooks import token_overlap
+
+    q = D.queries(spark, sf).withColumnRenamed("text", "q")
+    hits = D.keyword_hits(spark, sf).select("query_id", "doc_id").join(q, "query_id").join(D.docs(spark, sf), "doc_id")
+    return hits.select("query_id", "doc_id", F.round(token_overlap(F.col("q"), F.col("text")), 6).alias("relevance"))

@@ -28,8 +28,8 @@ def text_files(spark: SparkSession, folder: str, known: DataFrame | None = None)
     """Text files below a folder that are not indexed yet: (file_path, text)."""
     pattern = "*{" + ",".join(TEXT_SUFFIXES) + "}"
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .text(folder).select(F.input_file_name().alias("file_path"), F.col("value").alias("text"))
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(folder, wholetext=True).select(F.input_file_name().alias("file_path"), F.col("value").alias("text"))
     )
     return files if known is None else files.join(known.select("file_path"), "file_path", "left_anti")
 
