@@ -127,9 +127,9 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _unescape_all(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else [html.unescape(x) for x in v])
+    return values.map(lambda v: None if v is None else [[html.unescape(x) for x in row] for row in v])
 
 
 def unescape_html(col: Column) -> Column:
@@ -175,19 +175,26 @@ def normalize_name(col: Column, inner_quotes: bool = False) -> Column:
         t = F.regexp_replace(t, rf"['\"]+(?={P.HAN})|(?<={P.HAN})['\"]+", "")
         t = F.regexp_replace(t, r"\x{a0}", " ")
         t = F.regexp_replace(t, r"(?<=[^\p{Nd}])\x{202f}", " ")
-    # One or two digits, or up to five digits and dots, are no name.
-    return F.regexp_replace(strip(t), r"^[0-9]{1,2}$|^(?=[\p{Nd}.]{1,5}$)\p{Nd}*\.[\p{Nd}.]*$", "")
+    return _drop_numbers(strip(t))
+
+
+def _drop_numbers(name: Column) -> Column:
+    """One or two digits, or up to five digits and dots, are no name."""
+    return F.regexp_replace(name, r"^[0-9]{1,2}$|^(?=[\p{Nd}.]{1,5}$)\p{Nd}*\.[\p{Nd}.]*$", "")
 
 
 def clean_name(col: Column, inner_quotes: bool = True) -> Column:
     """Name or description from sanitised text; HTML entities are already characters."""
-    return normalize_name(sanitize(col, escapes=False), inner_quotes)
+    # Printable ASCII without tags and quotes has nothing to normalise.
+    special = col.rlike("[^ -~]|[<\"']")
+    full = normalize_name(sanitize(col, escapes=False), inner_quotes)
+    return F.when(special, full).otherwise(_drop_numbers(strip(col)))
 
 
-def unescape_fields(fields: Column) -> Column:
-    """HTML entities of a whole array; arrays without '&' send nothing to Python."""
-    escaped = F.exists(fields, lambda f: f.contains("&"))
-    return F.coalesce(_unescape_all(F.when(escaped, fields)), fields)
+def unescape_fields(records: Column) -> Column:
+    """HTML entities of an array of records; arrays without '&' send nothing to Python."""
+    escaped = F.exists(records, lambda r: F.exists(r, lambda f: f.contains("&")))
+    return F.coalesce(_unescape_all(F.when(escaped, records)), records)
 
 
 def computed_once(df, keep: list[str], **columns: Column):
@@ -197,9 +204,12 @@ def computed_once(df, keep: list[str], **columns: Column):
 
 
 def repair_delimiters(col: Column) -> Column:
+    """Undo delimiter damage. Records whose pipes and cores all sit in whole delimiters are skipped."""
+    rest = F.replace(col, F.lit(P.DELIMITER), F.lit(""))
+    fixed = col
     for damage in P.DELIMITER_DAMAGE:
-        col = F.regexp_replace(col, damage, P.DELIMITER)
-    return col
+        fixed = F.regexp_replace(fixed, damage, P.DELIMITER)
+    return F.when(rest.rlike("[|#]"), fixed).otherwise(col)
 
 
 def redact(col: Column) -> Column:

@@ -71,10 +71,13 @@ def parse_records(extractions: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = extractions.select("chunk_id", "pass", "created_at", "file_path", F.posexplode(parts).alias("pos", "_r"))
-    fields = split_markers(repair_delimiters(strip(F.col("_r"))), d)
-    cut = computed_once(rows, ["chunk_id", "pass", "pos", "created_at", "file_path"], _f=fields)
-    return cut.withColumn("fields", unescape_fields(F.col("_f"))).drop("_f")
+    # All records of one text go through together: Python sees one row per text, and only a text
+    # with HTML entities sends it anything.
+    fields = F.transform(parts, lambda r: split_markers(repair_delimiters(strip(r)), d))
+    place = ["chunk_id", "pass", "created_at", "file_path"]
+    cut = computed_once(extractions, place, _f=fields)
+    whole = cut.select(*place, unescape_fields(F.col("_f")).alias("_f"))
+    return whole.select("chunk_id", "pass", F.posexplode("_f").alias("pos", "fields"), "created_at", "file_path")
 
 
 def title_case(col: Column) -> Column:
@@ -184,10 +187,13 @@ def merge_relations(records: DataFrame, stored: DataFrame | None = None) -> Data
         hit = rows.select("src", "tgt").distinct()
         old = canonical(stored).join(hit, ["src", "tgt"], "left_semi")
         rows = rows.unionByName(old.select("src", "tgt", F.coalesce("weight", F.lit(1.0)).alias("weight"), "keywords", F.lit(0).alias("_new")))
-    weights = rows.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.sum("_new").alias("n_records"))
-    words = rows.select("src", "tgt", F.explode(split_markers(F.regexp_replace("keywords", SEP, ","), ",")).alias("k")).distinct()
-    listed = words.groupBy("src", "tgt").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("keywords"))
-    return weights.join(listed, ["src", "tgt"], "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
+    # Equal keyword strings combine first, so an edge gathers each of them once.
+    base = rows.groupBy("src", "tgt", "keywords").agg(F.sum("weight").alias("weight"), F.sum("_new").alias("_new"))
+    merged = base.groupBy("src", "tgt").agg(
+        F.sum("weight").alias("weight"), F.sum("_new").alias("n_records"), F.collect_list("keywords").alias("_k")
+    )
+    words = F.flatten(F.transform("_k", lambda k: split_markers(k, f"{SEP}|,")))
+    return merged.select("src", "tgt", "weight", "n_records", F.array_join(F.array_sort(F.array_distinct(words)), ",").alias("keywords"))
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.functions import patterns as P
 from kgspark.functions.text import tokens
 
-from .scale import top_per_key
+from .scale import broadcast_if_small, cut_lineage, top_per_key
 
 # Fixed values of the ranking function and its calibration.
 K1, B = 1.5, 0.75
@@ -27,12 +28,20 @@ def absolute_relevance(col: Column) -> Column:
     return F.when(col <= 1.0, calibrate_cosine(col)).otherwise(calibrate_bm25(col))
 
 
+def search_length(text: Column) -> Column:
+    """Number of search tokens, without building the list where a count of words will do."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(lowered.rlike(P.CJK), F.size(tokens(text))).otherwise(F.regexp_count(lowered, F.lit("[a-z0-9_]+")))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Positive BM25 scores: (query_id, doc_id, *scope, score).
 
     ``docs`` (doc_id, text, *scope) and ``queries`` (query_id, text, *scope); with ``scope`` the
     corpus statistics are those of the scope and a query sees only its own scope. Only postings
     of query terms leave the scan, and a repeated query term counts as often as it is repeated.
+    The query side is broadcast when its checked size allows; otherwise the joins shuffle by term
+    and adaptive execution splits frequent terms.
     """
     scope = scope or []
     asked = (
@@ -40,17 +49,22 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
         .groupBy("query_id", *scope, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    sized = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_toks")).withColumn("dl", F.size("_toks"))
-    corpus = sized.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
-    )
+    asked_once = broadcast_if_small(asked)
+    small = asked_once is not asked
     vocabulary = asked.select(*scope, "term").distinct()
-    postings = (
+    # Partitioned by document once: postings and scores are then combined without a shuffle.
+    by_doc = docs.select("doc_id", *scope, "text").repartition("doc_id")
+    sized = by_doc.select("doc_id", *scope, tokens(F.col("text")).alias("_toks")).withColumn("dl", F.size("_toks"))
+    # Tokenising is the costly step; the postings of the asked terms are written out once.
+    postings = cut_lineage(
         sized.select("doc_id", *scope, "dl", F.explode("_toks").alias("term"))
-        .join(vocabulary, [*scope, "term"], "left_semi")
+        .join(F.broadcast(vocabulary) if small else vocabulary, [*scope, "term"], "left_semi")
         .groupBy("doc_id", *scope, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    corpus = by_doc.groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg(search_length(F.col("text"))).alias("avgdl")
+    )
     found = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stats = found.join(corpus, scope) if scope else found.crossJoin(corpus)  # corpus: one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -61,7 +75,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
     damped = F.col("tf") + K1 * (1 - B + B * F.col("dl") / average)
     part = F.col("w") * F.col("tf") * (K1 + 1) / damped
     return (
-        postings.join(weights, [*scope, "term"])
+        postings.join(F.broadcast(weights) if small else weights, [*scope, "term"])
         .groupBy("query_id", "doc_id", *scope)
         .agg(F.sum(part).alias("score"))
     )

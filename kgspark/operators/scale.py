@@ -35,6 +35,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 500_000  # narrow rows: a few dozen megabytes at most
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose row count has been checked; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores, e.g. one small file.
+
+    Tables of many files pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def salt(df: DataFrame, by: list[str], salts: int, name: str = "_salt") -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from kgspark.functions.text import tokens
 
 from .lexical import by_score, calibrate_cosine
-from .scale import spread, top_per_key
+from .scale import broadcast_if_small, spread, top_per_key
 
 # Fixed values.
 SLOTS = 16384
@@ -38,21 +38,24 @@ def slot(token: Column) -> Column:
 def hashed_embedding(df: DataFrame, id_col: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Sparse L2-normalised bag of words: (id, *keep, slot, w)."""
     keys = [id_col, *(keep or [])]
-    counts = (
-        df.select(*keys, F.explode(tokens(F.col(text))).alias("_t"))
-        .groupBy(*keys, slot(F.col("_t")).alias("slot"))
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # Partitioned by document once; counting, hashing and the norm need no further shuffle, and
+    # every distinct token of a document is hashed once.
+    words = (
+        df.select(*keys, text).repartition(id_col).select(*keys, F.explode(tokens(F.col(text))).alias("_t"))
+        .groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_n"))
     )
-    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, id_col).select(*keys, "slot", (F.col("n") / F.col("norm")).alias("w"))
+    counts = words.groupBy(*keys, slot(F.col("_t")).alias("slot")).agg(F.sum("_n").cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(id_col)))
+    return counts.select(*keys, "slot", (F.col("n") / norm).alias("w"))
 
 
 def sparse_cosine(docs: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Non-zero cosines of sparse unit vectors: (query_id, doc_id, *scope, score)."""
     scope = scope or []
     asked = queries.select("query_id", *scope, "slot", F.col("w").alias("_qw"))
+    # With a broadcast query side the documents keep their partitioning for the sum.
     return (
-        docs.join(asked, [*scope, "slot"])
+        docs.join(broadcast_if_small(asked), [*scope, "slot"])
         .groupBy("query_id", "doc_id", *scope)
         .agg(F.sum(F.col("w") * F.col("_qw")).alias("score"))
     )

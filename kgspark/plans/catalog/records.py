@@ -6,6 +6,7 @@ from kgspark.functions.patterns import SPACE_CHARS as _SPACES
 from kgspark.operators import chunking as C
 from kgspark.operators import scoping as P
 from kgspark.operators import versioning as D2
+from kgspark.operators.scale import use_all_cores
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
 from kgspark.plans.registry import query, read
@@ -22,7 +23,7 @@ _c = F.col
     WHERE doc_key NOT IN (SELECT 'doc-' || md5({S.strip("text")}) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""",
 )
 def s2(spark, sf):
-    d = read(spark, sf, "documents")
+    d = use_all_cores(read(spark, sf, "documents"))
     arrivals = d.select(_c("doc_id").alias("position"), "text", F.concat_ws("/", "source", "doc_id").alias("file_path"))
     toxic = read(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     stored = d.join(toxic, "doc_id", "left_semi").select(F.concat(F.lit("doc-"), F.md5(F.btrim("text", F.lit(_SPACES)))).alias("doc_key"))

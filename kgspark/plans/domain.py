@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from kgspark.operators import fusion as R
 from kgspark.operators import lexical as L
 from kgspark.operators import vectors as V
+from kgspark.operators.scale import use_all_cores
 
 from .registry import read
 
 
 def docs(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("kb_id"), F.col("source").alias("owner_id"))
+    return use_all_cores(read(spark, sf, "documents")).select("doc_id", "text", F.col("lang").alias("kb_id"), F.col("source").alias("owner_id"))
 
 
 def queries(spark, sf) -> DataFrame:
