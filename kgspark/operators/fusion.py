@@ -125,10 +125,10 @@ def weighted_polling(chunks: DataFrame, owners: DataFrame, most: int, least: int
     )
     quotas = owners.join(count, "query_id").withColumn("quota", F.bround(share, 0).cast("int"))
     order = [F.col("occurrences").desc(), F.col("chunk_pos").asc()]
-    by_owner = W.partitionBy("query_id", "owner_pos").orderBy(*order)
-    ranked = chunks.withColumn("pos", F.row_number().over(by_owner)).join(quotas, ["query_id", "owner_pos"])
-    # No owner can receive more than all quotas together; longer lists end here.
-    ranked = ranked.filter(F.col("pos") <= F.col("n") * most)
+    # No owner can receive more than all quotas together. This bound is a constant, so the long
+    # lists of hubs are pruned before the shuffle.
+    bound = most * (count.agg(F.max("n")).first()[0] or 0)
+    ranked = top_per_key(chunks, ["query_id", "owner_pos"], order, bound, "pos").join(quotas, ["query_id", "owner_pos"])
     direct = ranked.filter(F.col("pos") <= F.col("quota"))
     used = direct.groupBy("query_id", "owner_pos").agg(F.count(F.lit(1)).alias("used"))
     spare = (

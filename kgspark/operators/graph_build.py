@@ -253,13 +253,13 @@ def concatenate(texts: list[str]) -> str:
 
 def summarise(
     texts: DataFrame, keys: list[str], reduce: Callable[[list[str]], str] = concatenate,
-    group_tokens: int = GROUP_TOKENS, max_rounds: int = 8,
+    group_tokens: int = GROUP_TOKENS, max_rounds: int = 48,
 ) -> DataFrame:
     """One description per key: (keys, description, fragments, reduced).
 
     Few and short fragments are joined. Longer lists are cut into neighbouring groups of at least
     two fragments and at most ``group_tokens`` tokens; ``reduce`` makes one text of each group,
-    and the shrunken list goes round again. Groups never span more than SEGMENT fragments, so a
+    and the list, at most about half as long, goes round again. Groups never span more than SEGMENT fragments, so a
     hub is summarised by many tasks; only its last, short list meets in one place.
     """
     from .scale import cut_lineage

@@ -248,8 +248,8 @@ def pagerank_retrieval(edges: DataFrame, nodes: DataFrame, hits: DataFrame, top_
 def label_seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Nodes whose label stands in the query, longest label only: (query_id, name, score).
 
-    The first three characters of a label are the join key (two for the shortest labels); the
-    query offers all its distinct grams of both lengths. The substring test then decides.
+    The first six characters of a label, or the whole of a shorter one, are the join key; the
+    query offers all its distinct grams of these lengths. The substring test then decides.
     """
 
     def grams(text, n):
@@ -257,8 +257,8 @@ def label_seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(n)))
 
     labelled = nodes.filter(F.length("label") >= 2).select("name", "label")
-    keyed = labelled.select("name", "label", F.substring("label", 1, 3).alias("_k"))
-    offered = F.array_union(grams(F.col("text"), 3), grams(F.col("text"), 2))
+    keyed = labelled.select("name", "label", F.substring("label", 1, 6).alias("_k"))
+    offered = F.array_distinct(F.concat(*[grams(F.col("text"), n) for n in range(2, 7)]))
     asked = queries.select("query_id", "text", F.explode(offered).alias("_k"))
     hits = keyed.join(asked, "_k").filter(F.contains("text", F.col("label"))).select("query_id", "name", "label").distinct()
     longest = hits.groupBy("query_id").agg(F.max(F.length("label")).alias("_n"))

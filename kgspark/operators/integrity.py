@@ -93,11 +93,10 @@ def remove_documents(graph_sources: DataFrame, elements: DataFrame, chunk_scopes
     return elements.join(dead, keys, "left_anti"), kept, scopes
 
 
-def cached_answers(cache: DataFrame, removed: DataFrame) -> DataFrame:
-    """Cache entries that cite none of the removed chunks; ``cache`` (entry_id, chunk_ids, …)."""
-    cited = cache.select("entry_id", F.explode("chunk_ids").alias("chunk_id"))
+def cached_answers(entries: DataFrame, cited: DataFrame, removed: DataFrame) -> DataFrame:
+    """Cache entries that cite none of the removed chunks; ``cited`` (entry_id, chunk_id)."""
     dead = cited.join(removed.select("chunk_id").distinct(), "chunk_id", "left_semi").select("entry_id").distinct()
-    return cache.join(dead, "entry_id", "left_anti")
+    return entries.join(dead, "entry_id", "left_anti")
 
 
 def purge_scope(tables: dict[str, DataFrame], kb_id: str) -> tuple[dict[str, DataFrame], DataFrame]:

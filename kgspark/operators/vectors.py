@@ -245,18 +245,17 @@ def synonym_edges(neighbours: DataFrame, edges: DataFrame, **options) -> DataFra
 
 
 def cache_hits(
-    requests: DataFrame, entries: DataFrame, live_chunks: DataFrame, scope: list[str],
+    requests: DataFrame, entries: DataFrame, cited: DataFrame, live_chunks: DataFrame, scope: list[str],
     threshold: float = CACHE_THRESHOLD,
 ) -> DataFrame:
     """Best usable cached answer per request: (request_id, entry_id, score).
 
-    ``entries`` (entry_id, position, embedding, chunk_ids, *scope), ``requests`` (request_id,
-    embedding, *scope). Usable: same scope, at least one cached chunk, and all of them live. Of
-    equal scores the later entry wins.
+    ``entries`` (entry_id, position, embedding, *scope), ``cited`` (entry_id, chunk_id),
+    ``requests`` (request_id, embedding, *scope). Usable: same scope, at least one cached chunk,
+    and all of them live. Of equal scores the later entry wins.
     """
-    cited = entries.select("entry_id", F.explode("chunk_ids").alias("chunk_id"))
     dead = cited.join(live_chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    usable = entries.filter(F.size("chunk_ids") > 0).join(
+    usable = entries.join(cited.select("entry_id").distinct(), "entry_id", "left_semi").join(
         dead.select("entry_id").distinct(), "entry_id", "left_anti"
     )
     cell = F.xxhash64(*scope)
@@ -286,7 +285,9 @@ def vector_pick(groups: DataFrame, vectors: DataFrame, queries: DataFrame, max_r
     broken = scored.filter(F.col("score").isNull()).select("query_id").distinct()
     whole = scored.join(broken, "query_id", "left_anti").join(n_groups, "query_id")
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    ranked = whole.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    # The largest limit of any query is a constant, so long lists are pruned before the shuffle.
+    most = (n_groups.agg(F.max("_g")).first()[0] or 0) * max_related // 2
+    ranked = top_per_key(whole, ["query_id"], order, most)
     limit = F.floor(F.lit(max_related) * F.col("_g") / 2)
     return ranked.filter(F.col("rank") <= limit).select("query_id", "chunk_id", "score", "rank")
 

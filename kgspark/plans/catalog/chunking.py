@@ -174,12 +174,17 @@ def c12(spark, sf):
     SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, md5('问题：' || q || chr(10) || '答案：' || a) AS content_hash FROM p WHERE q <> '' AND a <> ''""",
 )
 def c13(spark, sf):
-    conv = read(spark, sf, "conversations")
+    """One text per round, so that no conversation is gathered whole."""
+    from kgspark.operators.conversation import rounds
+    from kgspark.operators.scale import rank_in_groups
+
     label = F.when(F.col("role") == "user", "问题：").otherwise("答案：")
     line = F.struct("turn", F.concat(label, "text").alias("t"))
-    # One text per conversation: the source keeps a conversation as one document.
-    joined = conv.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(line))["t"], "\n").alias("text"))
-    return joined.select("doc_id", F.posexplode(C.qa_pieces(F.col("text"))).alias("pos", "content")).transform(_hashed, "pos")
+    numbered = rounds(read(spark, sf, "conversations"))
+    texts = numbered.groupBy("conv_id", "round").agg(F.array_join(F.array_sort(F.collect_list(line))["t"], "\n").alias("text"))
+    pieces = texts.select(F.col("conv_id").alias("doc_id"), "round", F.explode(C.qa_pieces(F.col("text"))).alias("content"))
+    ranked = rank_in_groups(pieces, ["doc_id"], [F.col("round")], F.floor(F.col("round") / 1000), "rn")
+    return _hashed(ranked.withColumn("pos", (F.col("rn") - 1).cast("int")), "pos")
 
 
 @query("C14_clause_pieces")

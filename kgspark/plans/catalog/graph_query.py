@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import graph_build as G
 from kgspark.operators import graph_query as N
 from kgspark.operators import vectors as V
+from kgspark.operators.scale import cut_lineage
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
 from kgspark.plans.registry import query, read
@@ -172,7 +173,8 @@ def n10_full(spark, sf):
 @query("N11_pagerank_retrieval")
 def n11(spark, sf):
     hits = _region_seeds(spark, sf).select("query_id", "name", F.col("weight").alias("score"))
-    _, relations = N.pagerank_retrieval(D.edges(spark, sf), D.nodes(spark, sf), hits, 10, steps=5)
+    edges = cut_lineage(D.edges(spark, sf))  # stands for the stored edge table
+    _, relations = N.pagerank_retrieval(edges, D.nodes(spark, sf), hits, 10, steps=5)
     return relations.select("query_id", "src", "tgt", "rank", F.round("score", 8).alias("score"))
 
 
@@ -191,7 +193,7 @@ _LABELS = f"""
 
 @query(
     "N12_label_seeds",
-    f"""WITH {_LABELS}, q AS (SELECT item_id AS query_id, text || ' ' || (SELECT string_agg(label, ' ' ORDER BY name) FROM lb WHERE name % 40 = item_id % 40) AS text FROM benchmark),
+    f"""WITH {_LABELS}, q AS (SELECT item_id AS query_id, text || ' ' || coalesce(label, '') AS text FROM benchmark LEFT JOIN lb ON name = item_id),
     h AS (SELECT query_id, name, label FROM q JOIN lb ON len(label) >= 2 AND contains(text, label))
     SELECT query_id, name, 0.8::DOUBLE AS score FROM h QUALIFY len(label) = max(len(label)) OVER (PARTITION BY query_id)""",
 )
@@ -201,10 +203,10 @@ def n12(spark, sf):
 
 
 def _asked(spark, sf, nodes):
-    """Benchmark texts that also name some of the labels."""
-    named = nodes.filter("label <> ''").groupBy((F.col("name") % 40).alias("_m")).agg(F.array_sort(F.collect_list(F.struct("name", "label"))).alias("l"))
-    q = D.queries(spark, sf).withColumn("_m", F.col("query_id") % 40).join(named, "_m")
-    return q.select("query_id", F.concat("text", F.lit(" "), F.array_join("l.label", " ")).alias("text"))
+    """Benchmark texts that also name the label of the document with their number."""
+    named = nodes.select(F.col("name").alias("query_id"), "label")
+    q = D.queries(spark, sf).join(named, "query_id", "left")
+    return q.select("query_id", F.concat("text", F.lit(" "), F.coalesce("label", F.lit(""))).alias("text"))
 
 
 @query("N13_graph_hits")

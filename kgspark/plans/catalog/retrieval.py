@@ -167,13 +167,11 @@ def v10(spark, sf):
 def v11(spark, sf):
     li = read(spark, sf, "lineitem")
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    cited = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(line).alias("chunk_ids"))
-    entries = D.vectors(spark, sf).join(cited, "doc_id").select(
-        F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("position"), "embedding", "chunk_ids", "label"
-    )
+    cited = li.select(F.col("l_orderkey").alias("entry_id"), line.alias("chunk_id"))
+    entries = D.vectors(spark, sf).select(F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("position"), "embedding", "label")
     requests = D.label_queries(spark, sf).select(F.col("query_id").alias("request_id"), "embedding", F.col("query_id").alias("label"))
     live = li.filter("l_returnflag <> 'R'").select(line.alias("chunk_id"))
-    return _r(V.cache_hits(requests, entries, live, ["label"], threshold=0.3), "request_id", "entry_id", "score")
+    return _r(V.cache_hits(requests, entries, cited, live, ["label"], threshold=0.3), "request_id", "entry_id", "score")
 
 
 @query(

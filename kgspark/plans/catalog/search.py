@@ -7,6 +7,7 @@ from kgspark.hooks import token_overlap
 from kgspark.operators import fusion as R
 from kgspark.operators import graph_build as G
 from kgspark.operators import vectors as V
+from kgspark.operators.scale import cut_lineage
 from kgspark.plans import domain as D
 from kgspark.plans import search as Q
 from kgspark.plans import sqlparts as S
@@ -117,7 +118,7 @@ def r19(spark, sf):
 def _kg(spark, sf, mode):
     near = V.nearest(D.vectors(spark, sf), D.label_queries(spark, sf), 10)
     entity_hits = near.select("query_id", F.concat(F.lit("P"), "doc_id").alias("name"), "score", "rank")
-    edges = D.edges(spark, sf)
+    edges = cut_lineage(D.edges(spark, sf))  # stands for the stored edge table
     # Relation hits: the heaviest edge of each entity hit, in the order of the hits.
     heavy = edges.groupBy("src").agg(F.max_by("tgt", F.struct("weight", "tgt")).alias("tgt"))
     relation_hits = entity_hits.select("query_id", _c("name").alias("src"), "rank").join(heavy, "src")

@@ -16,7 +16,7 @@ from kgspark.operators.lexical import by_score
 from kgspark.operators.scale import cut_lineage, rank_in_groups, top_per_key
 
 
-def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 2) -> DataFrame:
+def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> DataFrame:
     """Documents whose text contains a mark: (query_id, doc_id).
 
     A mark's first inner words are the join key against the same windows of the documents, so no
