@@ -236,8 +236,8 @@ def post_rerank(chunks: DataFrame, cost: Column, min_score: float, top_k: int, b
     """Score filter (no score counts 1), top-k and token budget over a ranked list."""
     kept = chunks.filter((F.lit(min_score) <= 0) | (F.coalesce("rerank_score", F.lit(1.0)) >= min_score))
     order = [F.coalesce("rerank_score", F.lit(1.0)).desc(), F.col("rank").asc()]
-    top = top_per_key(kept.withColumnRenamed("rank", "_old").withColumn("rank", F.col("_old")), ["query_id"], order, top_k, "final_rank")
-    return within_budget(top.drop("_old"), cost, budget, "final_rank")
+    top = top_per_key(kept, ["query_id"], order, top_k, "final_rank")
+    return within_budget(top, cost, budget, "final_rank")
 
 
 def tree_scores(hypothetical: DataFrame, original: DataFrame) -> DataFrame:

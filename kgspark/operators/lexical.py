@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import patterns as P
 from kgspark.functions.text import tokens
 
-from .scale import broadcast_if_small, cut_lineage, top_per_key
+from .scale import broadcast_if_small, top_per_key
 
 # Fixed values of the ranking function and its calibration.
 K1, B = 1.5, 0.75
@@ -55,14 +55,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
     # Partitioned by document once: postings and scores are then combined without a shuffle.
     by_doc = docs.select("doc_id", *scope, "text").repartition("doc_id")
     sized = by_doc.select("doc_id", *scope, tokens(F.col("text")).alias("_toks")).withColumn("dl", F.size("_toks"))
-    # Tokenising is the costly step; the postings of the asked terms are written out once.
-    postings = cut_lineage(
+    # Document frequencies and scores both read the postings. Tokenising the (reused) exchange
+    # twice is cheaper than writing postings, and scoring keeps the partitioning by document.
+    postings = (
         sized.select("doc_id", *scope, "dl", F.explode("_toks").alias("term"))
         .join(F.broadcast(vocabulary) if small else vocabulary, [*scope, "term"], "left_semi")
         .groupBy("doc_id", *scope, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    corpus = by_doc.groupBy(*scope).agg(
+    corpus = docs.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg(search_length(F.col("text"))).alias("avgdl")
     )
     found = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))

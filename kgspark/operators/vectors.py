@@ -177,13 +177,6 @@ def nearest(
     return top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
 
 
-def sql_nearest(corpus: DataFrame, queries: DataFrame, k: int, scope: str) -> DataFrame:
-    """Small scopes without Python: equi-join on the scope, then the cosine expression."""
-    pairs = corpus.join(queries.withColumnRenamed("embedding", "_q"), scope)
-    scored = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("_q")), _DIGITS))
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
-
-
 def centroids(corpus: DataFrame, by: str, id_name: str = "query_id") -> DataFrame:
     """Mean vector per group, computed dimension by dimension."""
     cells = corpus.select(by, F.posexplode("embedding").alias("pos", "x"))

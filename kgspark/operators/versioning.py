@@ -38,7 +38,7 @@ def structure_hash(units: DataFrame, columns: list[str], order: str, id_col: str
     return rows.select(id_col, F.sha2(F.array_join("_u.l", "\n"), 256).alias("structure_hash"))
 
 
-def _similar(keys: list[str], pos_type: str):
+def _similar(keys: list[str]):
     """Greedy pairing of the chunks of one document that exact matching left over."""
 
     def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +103,7 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
         T.StructField("new_pos", T.LongType()), T.StructField("similarity", T.DoubleType()),
     ])
     rows = [d.select(*keys, "pos", "anchor", body).groupBy(*keys) for d in (a, b)]
-    paired = rows[0].cogroup(rows[1]).applyInPandas(_similar(keys, "long"), schema)
+    paired = rows[0].cogroup(rows[1]).applyInPandas(_similar(keys), schema)
     same = matches.select(
         *keys, F.lit("unchanged").alias("kind"), F.col("old_pos").cast("long").alias("old_pos"),
         F.col("new_pos").cast("long").alias("new_pos"), F.lit(None).cast("double").alias("similarity"),
@@ -116,9 +116,6 @@ def change_summary(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(*counts, F.count(F.when(F.col("kind") != "unchanged", 1)).alias("changed"))
 
 
-_DIFF = "array<struct<kind:string,old:string,new:string>>"
-
-
 def line_diffs(pairs: DataFrame, mark_numbers: bool = True) -> DataFrame:
     """Line differences of (id, old, new): one row per change with its severity, at most 40 a pair."""
     from kgspark.functions.text import numerals_changed

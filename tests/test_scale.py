@@ -56,3 +56,35 @@ def test_salted_join_equals_join(spark, rows):
 
 def test_cut_lineage_uses_the_named_folder(spark, rows):
     assert SC.cut_lineage(rows).count() == 600
+
+
+def _plan(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_bm25_never_shuffles_query_document_pairs(spark):
+    from kgspark.operators.lexical import keyword_hits
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} common words") for i in range(50)], "doc_id LONG, text STRING")
+    queries = spark.createDataFrame([(1, "w3 common"), (2, "w5")], "query_id LONG, text STRING")
+    plan = _plan(keyword_hits(docs, queries, 3))
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line]
+    assert not [line for line in shuffles if "doc_id" in line]
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_hashed_embedding_shuffles_once(spark):
+    from kgspark.operators.vectors import hashed_embedding
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id LONG, text STRING")
+    plan = _plan(hashed_embedding(docs, "doc_id"))
+    assert plan.count("Exchange") == 1
+
+
+def test_chunking_shuffles_nothing(spark):
+    from kgspark.operators import chunking as C
+
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id LONG, text STRING")
+    assert "Exchange" not in _plan(C.chunk_rows(docs, C.fixed_windows(F.col("text"), 2, 1)))
+    assert "Exchange" not in _plan(C.text_units(docs))
