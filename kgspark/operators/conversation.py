@@ -84,21 +84,29 @@ def retrieve_memories(memories: DataFrame, requests: DataFrame, moment: Column,
 
 
 def _with_vectors(scored: DataFrame, memories: DataFrame, requests: DataFrame) -> DataFrame:
-    """Add cosine hits of the same owner; a memory without common terms may enter by its vector."""
-    from .vectors import nearest
+    """Let the cosine take part: exactly for memories with common terms, by search for the others.
 
-    need = MEMORY_FLOOR / VECTOR_PART - OVERLAP_PART / VECTOR_PART
+    At most ten memories are wanted, so ten beyond those with common terms are enough.
+    """
+    from .vectors import cosine, nearest
+
+    m = memories.select("memory_id", F.col("embedding").alias("_m"))
+    q = requests.select("request_id", F.col("embedding").alias("_q"))
+    close = F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("_m"), F.col("_q")), F.lit(0.0)))
+    with_terms = scored.join(m, "memory_id").join(q, "request_id").select(
+        "request_id", "memory_id", (VECTOR_PART * close + OVERLAP_PART * F.col("overlap")).alias("score"), "updated_at"
+    )
+    sizes = scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    k = 10 + (sizes.agg(F.max("n")).first()[0] or 0)
+    mine = F.concat_ws("|", "owner_id", F.when(F.col("scope") == "global", "g").otherwise(F.concat(F.lit("k|"), F.col("kb_id").cast("string"))))
+    both = F.array(F.concat_ws("|", "owner_id", F.lit("g")), F.concat_ws("|", "owner_id", F.lit("k"), F.col("kb_id").cast("string")))
     near = nearest(
-        memories.select(F.col("memory_id").alias("doc_id"), "embedding", "owner_id"),
-        requests.select(F.col("request_id").alias("query_id"), "embedding", "owner_id"),
-        1000, max(0.0, need), cell="owner_id",
-    ).select(F.col("query_id").alias("request_id"), F.col("doc_id").alias("memory_id"), F.col("score").alias("cos"))
-    ctx = requests.select("request_id", F.col("kb_id").alias("_kb"))
-    allowed = near.join(memories.select("memory_id", "scope", "kb_id", F.col("updated_at").alias("_u")), "memory_id").join(ctx, "request_id")
-    allowed = allowed.filter((F.col("scope") == "global") | (F.col("kb_id") == F.col("_kb"))).select("request_id", "memory_id", "cos", "_u")
-    both = scored.join(allowed, ["request_id", "memory_id"], "full_outer")
-    score = VECTOR_PART * F.coalesce("cos", F.lit(0.0)) + OVERLAP_PART * F.coalesce("overlap", F.lit(0.0))
-    return both.withColumn("score", score).withColumn("updated_at", F.coalesce("updated_at", "_u")).drop("cos", "_u")
+        memories.select(F.col("memory_id").alias("doc_id"), "embedding", mine.alias("_cell_id")),
+        requests.select(F.col("request_id").alias("query_id"), "embedding", F.explode(both).alias("_cell_id")),
+        k, MEMORY_FLOOR / VECTOR_PART, cell="_cell_id",
+    ).select(F.col("query_id").alias("request_id"), F.col("doc_id").alias("memory_id"), (VECTOR_PART * F.col("score")).alias("score"))
+    others = near.join(scored.select("request_id", "memory_id"), ["request_id", "memory_id"], "left_anti")
+    return with_terms.unionByName(others.join(memories.select("memory_id", "updated_at"), "memory_id"))
 
 
 def memory_budget(ranked: DataFrame, cost: Column, budget: int) -> DataFrame:
