@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.operators.scale import cut_lineage
+from kgspark.operators.scale import cut_lineage, shared_folder
+
+__all__ = ["crc_of_id", "cut_lineage", "number_rows", "read", "size_of", "work_folder"]
+
 
-__all__ = ["cut_lineage", "crc_of_id", "number_rows", "read", "size_of"]
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one run, in the store that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

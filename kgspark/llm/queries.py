@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import sharding
-from kgspark.llm.common import read
+from kgspark.llm import packing, sharding, token_files
+from kgspark.llm.common import read, work_folder
 
 SHARDS = 24
 
@@ -22,6 +23,22 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, best fit by falling length."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.cut_documents(read(spark, sf_dir, "documents"), path, end_id=1))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token blocks with a shared dictionary, and read back."""
+    folder = work_folder(spark, "tokens")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, path, spaces=True, end_id=0)
+    return token_files.read_tokens(spark, folder)
+
+
 QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_token_files": op6_token_files,
 }
