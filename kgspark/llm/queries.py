@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import packing, sharding, token_files
+from kgspark.llm import packing, sharding, substrings, token_files
 from kgspark.llm.common import read, work_folder
 
 SHARDS = 24
@@ -29,6 +29,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(read(spark, sf_dir, "documents"), path, end_id=1))
 
 
+def op5_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words under a 35-word window that starts anywhere else, too."""
+    removed = substrings.remove_repeats(read(spark, sf_dir, "documents"), 35)
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_intervals"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token blocks with a shared dictionary, and read back."""
     folder = work_folder(spark, "tokens")
@@ -40,5 +46,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_substring_removal": op5_substring_removal,
     "op6_token_files": op6_token_files,
 }
