@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 WORD_BASE = 0xD6E8FEB86659FD93
+HASH_BLOCK = 1 << 19
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -95,8 +96,16 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
 
 
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte strings data[start:end]."""
-    return range_hashes(prefix_hashes(data.astype(np.uint64) + np.uint64(1), BYTE_BASE), start, end, BYTE_BASE)
+    """Hashes of the byte strings data[start:end], given in order; taken in blocks that stay in cache."""
+    out = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(start):
+        base = start[low]
+        high = max(low + 1, int(np.searchsorted(end, base + HASH_BLOCK, "right")))
+        sums = prefix_hashes(data[base:end[high - 1]].astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        out[low:high] = range_hashes(sums, start[low:high] - base, end[low:high] - base, BYTE_BASE)
+        low = high
+    return out
 
 
 def split_words(flat: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True) -> Words:
@@ -107,7 +116,7 @@ def split_words(flat: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool
     if lower:
         data = _LOWER[data]
     solid = np.zeros(len(data) + 2, bool)  # one place of white space on either side
-    solid[1:-1] = ~_IS_SPACE[data]
+    solid[1:-1] = ~IS_SPACE[data]
     begins, ends = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
     inner = edges[:-1][(edges[:-1] < edges[1:])]  # words never cross from one text to the next
     begins[inner] = solid[1:-1][inner]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import size_of
 
-PART_BYTES = 8 << 20  # text per part: what a task holds at once; larger ones mean fewer, longer lists
+PART_BYTES = 4 << 20  # text per part: what a task holds at once; larger ones mean fewer, longer lists
 LEAST_PARTS = 64  # so that small inputs, too, are dealt evenly
 
 

@@ -7,19 +7,24 @@ units. Corpora repeat units, so a batch encodes its distinct units only and gath
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
 
-from kgspark.llm.arrays import byte_hashes, row_runs, split_words, text_bytes
+from kgspark.llm.arrays import IS_SPACE, byte_hashes, row_runs, split_words, text_bytes
 
 
-RUN_BYTES = 8 << 20
-KNOWN_SLOTS = 1 << 22  # per worker: 84 MB, for two million units
+RUN_BYTES = 2 << 20
+JOINED = 2_000  # units per text that goes to the library
+KNOWN_SLOTS = 1 << 21  # per worker: 60 MB, for a million units
 #: White space beyond ASCII's, as UTF-8, and the ASCII separators that some patterns count as white space.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
 
 class Known:
     """Ids of units met before, by hash: open addressing in flat arrays, filled until it is half full."""
@@ -53,7 +58,7 @@ class Known:
         keys, begin, size = keys[:room], begin[:room], size[:room]
         if not len(keys):
             return
-        stop = int(begin[-1] + size[-1])
+        stop = int((begin + size).max())
         while self.used + stop > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used:self.used + stop] = pool[:stop]
@@ -73,11 +78,14 @@ class Encoder:
     """``Encoder(path, spaces)``: ``spaces`` says that white space counts (byte-level vocabularies)."""
 
     def __init__(self, path: str, spaces: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces = spaces
+        self.separator = b"\n" if spaces else b" \x01 "
+        (self.separator_id,) = self.tokenizer.encode(self.separator.decode(), add_special_tokens=False).ids
         self.known = Known(KNOWN_SLOTS)
 
     def _units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,22 +112,47 @@ class Encoder:
 
     @staticmethod
     def _odd(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        lead = data >= 0x1C
-        lead &= (data <= 0x1F) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))
-        if not lead.any():
+        if not _ODD_LEAD[data].any():
             return np.zeros(0, np.int64)
         at = [m.start() for m in _ODD_SPACE.finditer(data.tobytes())]
         return np.unique(np.searchsorted(edges, at, "right") - 1)
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new units in a row, and how many each has."""
-        ids, sizes = [], []
-        for low in range(0, len(start), 20_000):
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[low:low + 20_000].tolist(), end[low:low + 20_000].tolist())]
-            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                sizes.append(len(got := found.ids))
-                ids.extend(got)
-        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+    def _alone(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which units must not be joined to others: white space, whole texts, and what has the separator in it."""
+        marks = IS_SPACE[data]
+        if self.spaces:
+            marks[start] &= data[start] != 0x20  # one space before a word is part of the unit
+            marks |= _ODD_LEAD[data]
+        else:
+            marks |= data == self.separator[1]
+        upto = np.append(0, np.cumsum(marks))
+        return (upto[end] - upto[start] > 0) | IS_SPACE[data[end - 1]]
+
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of new units, how many each has, and where they begin.
+
+        Units go to the library in long texts, with a separator between them that is a token of its own
+        and not part of any unit; units for which that does not hold are encoded ``alone``.
+        """
+        ids, sizes = [], np.zeros(len(start), np.int64)
+        spans = list(zip(start.tolist(), end.tolist()))
+        together = np.flatnonzero(~alone)
+        for low in range(0, len(together), JOINED):
+            some = together[low:low + JOINED]
+            text = self.separator.join([raw[slice(*spans[i])] for i in some.tolist()])
+            found = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(found == self.separator_id)
+            sizes[some] = np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1
+            ids.append(np.delete(found, cut))
+        rest = np.flatnonzero(alone)
+        for i in rest.tolist():
+            ids.append(np.array(self.tokenizer.encode(raw[slice(*spans[i])].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
+            sizes[i] = len(ids[-1])
+        order = np.concatenate([together, rest])
+        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        begin = np.zeros(len(start), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return pool, sizes, begin
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and where each text's begin."""
@@ -130,11 +163,12 @@ class Encoder:
         keys = np.maximum(keys, np.uint64(1))  # 0 marks a free slot
         slot = self.known.find(keys)
         old = slot >= 0
-        fresh, fresh_size = self._learn(data.tobytes(), start[where[~old]], end[where[~old]])
+        new_start, new_end = start[where[~old]], end[where[~old]]
+        alone = self._alone(data, new_start, new_end)
+        fresh, fresh_size, fresh_begin = self._learn(data.tobytes(), new_start, new_end, alone)
         size = np.zeros(len(keys), np.int64)
         size[old], size[~old] = self.known.size[slot[old]], fresh_size
         begin = np.zeros(len(keys), np.int64)
-        fresh_begin = np.cumsum(fresh_size) - fresh_size
         begin[old], begin[~old] = self.known.place[slot[old]], self.known.used + fresh_begin
         pool = np.concatenate([self.known.pool[:self.known.used], fresh])
         each = size[which]
