@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import packing, sharding, substrings, token_files
-from kgspark.llm.common import read, work_folder
+from kgspark.llm import lm, packing, sharding, substrings, token_files
+from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
 
@@ -43,9 +43,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a subword lattice and a word unigram, learnt where crc32(doc_id) mod 7 is not 2."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lm.score_documents(read(spark, sf_dir, "documents"), path, crc_of_id() % 7 != 2)
+
+
 QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_removal": op5_substring_removal,
     "op6_token_files": op6_token_files,
+    "op7_lattice_scores": op7_lattice_scores,
 }
