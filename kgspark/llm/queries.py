@@ -6,12 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import lm, packing, sharding, substrings, token_files
+from kgspark.llm import lm, packing, search, sharding, substrings, token_files
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_block_pruned_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+    """,
+}
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +65,16 @@ def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"), path, crc_of_id() % 7 != 2)
 
 
+def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest integer inner products of every vector whose id is divisible by 20."""
+    return search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_removal": op5_substring_removal,
     "op6_token_files": op6_token_files,
     "op7_lattice_scores": op7_lattice_scores,
+    "op10_block_pruned_search": op10_block_pruned_search,
 }
