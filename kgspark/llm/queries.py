@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import lm, packing, search, sharding, substrings, token_files
+from kgspark.llm import lm, packing, search, secret_scan, sharding, substrings, token_files
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
@@ -65,6 +65,16 @@ def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"), path, crc_of_id() % 7 != 2)
 
 
+def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base kinds, and weak parts that complete one another."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 greatest integer inner products of every vector whose id is divisible by 20."""
     return search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -76,5 +86,6 @@ QUERIES = {
     "op5_substring_removal": op5_substring_removal,
     "op6_token_files": op6_token_files,
     "op7_lattice_scores": op7_lattice_scores,
+    "op8_credential_linking": op8_credential_linking,
     "op10_block_pruned_search": op10_block_pruned_search,
 }
