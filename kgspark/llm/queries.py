@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import lm, packing, search, secret_scan, sharding, substrings, token_files
+from kgspark.llm import lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
@@ -45,6 +45,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(read(spark, sf_dir, "documents"), path, end_id=1))
 
 
+def op4_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles overlap by 80 per cent."""
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), size=4, per_cent=80)
+
+
 def op5_substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words under a 35-word window that starts anywhere else, too."""
     removed = substrings.remove_repeats(read(spark, sf_dir, "documents"), 35)
@@ -83,6 +88,7 @@ def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_setsketch_duplicates": op4_setsketch_duplicates,
     "op5_substring_removal": op5_substring_removal,
     "op6_token_files": op6_token_files,
     "op7_lattice_scores": op7_lattice_scores,
