@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
+from kgspark.llm import decontamination, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
@@ -80,6 +80,11 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in documents."""
+    return decontamination.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 greatest integer inner products of every vector whose id is divisible by 20."""
     return search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -93,5 +98,6 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_lattice_scores": op7_lattice_scores,
     "op8_credential_linking": op8_credential_linking,
+    "op9_simhash_windows": op9_simhash_windows,
     "op10_block_pruned_search": op10_block_pruned_search,
 }
