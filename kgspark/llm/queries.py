@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontamination, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
+from kgspark.llm import decontamination, line_quality, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
@@ -30,6 +30,19 @@ ORACLES: dict[str, str] = {
 }
 
 
+THRESHOLD = 0.7
+
+
+def op1_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a field over their lines; labels with crc32(doc_id) mod 4 = 2 are held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = line_quality.train(docs, labels, crc_of_id() % 4 != 2)
+    scored = line_quality.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 runs of a Hilbert curve over source, language and size."""
     placed = sharding.hilbert_shards(read(spark, sf_dir, "documents"), SHARDS)
@@ -91,6 +104,7 @@ def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_field_quality": op1_line_field_quality,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_setsketch_duplicates": op4_setsketch_duplicates,
