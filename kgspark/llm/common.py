@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.scale import cut_lineage, shared_folder
 
-__all__ = ["crc_of_id", "cut_lineage", "number_rows", "read", "size_of", "work_folder"]
+__all__ = ["crc_of_id", "cut_lineage", "number_rows", "read", "size_of", "work_folder", "written"]
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -18,6 +18,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: for loops, whose plans would otherwise carry their past along."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,8 @@
 """Documents that hold benchmark items, found by SimHash over windows as long as an item.
 
-A window of a document has as many words as an item and stands where a shared run of five words would
-stand in the item; any other window has no run in common with an item of that length, so its similarity
-is 0. Windows and items get 64-bit SimHash fingerprints, weighted by how often each run occurs. The
+A window of a document has as many words as an item and stands so that one of their shared runs of five
+words has the same place in both. Windows in between hold parts of the same shared runs and are not
+looked at. Windows and items get 64-bit SimHash fingerprints, weighted by how often each run occurs. The
 fingerprint is cut into RADIUS + 1 blocks, of which two fingerprints within RADIUS bits must share one,
 so an equality join on blocks misses none of them. Survivors are verified by the exact weighted
 similarity of their runs: sum of lesser counts over sum of greater counts.
@@ -92,7 +92,7 @@ def _suspects(docs: DataFrame, probes: DataFrame) -> DataFrame:
 def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Items found in documents: doc_id, item_id, start_word, similarity, one row per document and item.
 
-    Of several windows the most similar, then the first, is reported. Case and punctuation do not count.
+    Of several such windows the most similar, then the first, is reported. Case and punctuation do not count.
     NULL and empty texts and items hold nothing; items of fewer than SIZE words take no part, since words
     so few occur by chance; a text shorter than an item is one window. Repeated rows of a document give
     one row, rows without an id are reported with NULL. Equal items are reported each. Empty tables give

@@ -209,7 +209,8 @@ def train(df: DataFrame, labels: DataFrame, use: Column) -> dict:
         labels = np.concatenate([b.column(2).to_numpy() for b in held]) if held else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(Lines(texts), labels))])], ["model"])
 
-    return json.loads(rows.mapInArrow(learn, "model string").first()[0])
+    found = rows.mapInArrow(learn, "model string").first()  # none where nothing is labelled
+    return json.loads(found[0]) if found else {"share": 0.5}
 
 
 def score_documents(df: DataFrame, model: dict, name: str = "score") -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import arrays, setsketch
-from kgspark.llm.common import cut_lineage
+from kgspark.llm.common import cut_lineage, written
+from kgspark.llm.exchange import LEAST_PARTS
 
 RUN_BYTES = 1 << 20
 BLOCK = 256  # members of a bucket compared with each other at once
@@ -103,14 +104,14 @@ def components(edges: DataFrame) -> DataFrame:
     chains halve with every turn. All steps are joins and partial aggregations on written tables.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    both = written(both, "edges")
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("around"))
         near = labels.join(around, labels["node"] == around["a"]).select("node", "label", F.least("label", "around").alias("least"))
         far = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
         moved = near.join(far, "least", "left").select("node", F.col("label").alias("old"), F.least("least", "far").alias("label"))
-        moved = cut_lineage(moved)
+        moved = written(moved, "labels")
         changed = moved.where("label <> old").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
@@ -146,7 +147,7 @@ def verified(tiles: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """
     tiles = cut_lineage(tiles)
     total = tiles.agg(F.coalesce(F.sum(F.size("members")), F.lit(0))).first()[0]
-    lumps = max(64, math.ceil(total / LUMP))
+    lumps = max(LEAST_PARTS, math.ceil(total / LUMP))
     lumped = tiles.withColumn("lump", F.pmod(F.xxhash64("members", "lefts"), F.lit(lumps)))
     needed = lumped.select(F.col("lump").alias("to"), F.explode("members").alias("member")).distinct().join(sets, "member")
     return lumped.groupBy("lump").cogroup(needed.groupBy("to")).applyInArrow(_compare(per_cent), "a long, b long")
@@ -221,7 +222,9 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     stars = cut_lineage(stars.where((F.col("rep") != F.col("centre")) & fits).select("rep", "centre").distinct())
     loads = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = stars.join(loads, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    tiles = dealt.groupBy("centre", "block").agg(F.collect_list("rep").alias("reps"))
+    # Grouped by a key of its own, so that the join on a centre with much company can be split.
+    dealt = dealt.withColumn("tile", F.xxhash64("centre", "block"))
+    tiles = dealt.groupBy("tile", "block").agg(F.min("centre").alias("centre"), F.collect_list("rep").alias("reps"))
     tiles = tiles.select(
         F.concat(F.array("centre"), "reps").alias("members"), F.expr("transform(reps, x -> 0)").alias("lefts"),
         F.expr("transform(reps, (x, i) -> i + 1)").alias("rights"),
@@ -239,7 +242,7 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_rows = open_rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "members")
-    lumps = max(64, math.ceil(labelled.count() / LUMP))
+    lumps = max(LEAST_PARTS, math.ceil(labelled.count() / LUMP))
     open_rows = open_rows.withColumn("lump", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(lumps)))
     tiles = open_rows.groupBy("lump").applyInArrow(_across(per_cent / 100), TILES)
     more = verified(tiles, sets, per_cent)

@@ -77,7 +77,8 @@ def train_dictionary(df: DataFrame, path: str, spaces: bool, end_id: int, width:
             found = b"".join(samples)[:DICTIONARY_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], ["dictionary"])
 
-    return bytes(sample.mapInArrow(train, "dictionary binary").first()[0])
+    found = sample.mapInArrow(train, "dictionary binary").first()
+    return bytes(found[0]) if found else b""
 
 
 def pack_block(doc_ids: list, ids: list[np.ndarray], dictionary: bytes, width: int) -> bytes:

@@ -1,5 +1,7 @@
 import pytest
 
+from kgspark.llm import exchange, near_duplicates
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: NULLs, empty and odd texts, ties and a repeated row; the long text has a megabyte.
 EDGE = [
@@ -23,6 +25,13 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    """Small inputs need few tasks."""
+    monkeypatch.setattr(exchange, "LEAST_PARTS", 4)
+    monkeypatch.setattr(near_duplicates, "LEAST_PARTS", 4)
+
+
 @pytest.fixture
 def shared(spark, tmp_path_factory):
     if spark.sparkContext.getCheckpointDir() is None:
