@@ -21,7 +21,6 @@ COMPARE_WORDS = (
 VAGUE_WORDS = ("这个", "那个", "怎么办", "怎样", "相关内容", "大概", "有没有什么")
 CONCEPT_WORDS = ("原理", "概念", "机制", "是什么意思", "如何理解")
 ANAPHORA_WORDS = ("它", "他", "她", "这个", "那个", "上述", "刚才", "上面", "前面")
-PRONOUN_WORDS = ("它", "这个", "那个", "上述", "上面", "其", "此", "该问题", "前面")
 NAME_WORDS = ("是谁", "叫什么", "姓名", "工号")
 GRAPH_WORDS = (
     "为什么", "如何影响", "导致", "因果", "关系", "比较", "区别", "相比", "跨文档",
@@ -29,7 +28,6 @@ GRAPH_WORDS = (
 SUBQUESTION_SPLIT = "[和与及、]|以及|相比|比较"
 DIRECT_FACTS = " 的直接事实"
 RELATED_EFFECTS = " 的关系或影响"
-MAX_VARIANTS = 3
 MAX_SUBQUESTIONS = 4
 REDACTED_EMAIL, REDACTED_PHONE, REDACTED_ID = "[邮箱]", "[手机号]", "[证件号]"
 # --- end of fixed values ------------------------------------------------------------------

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -253,14 +254,16 @@ def concatenate(texts: list[str]) -> str:
 
 def summarise(
     texts: DataFrame, keys: list[str], reduce: Callable[[list[str]], str] = concatenate,
-    group_tokens: int = GROUP_TOKENS, max_rounds: int = 48,
+    group_tokens: int = GROUP_TOKENS, max_rounds: int = 48, segment: int | None = SEGMENT,
 ) -> DataFrame:
     """One description per key: (keys, description, fragments, reduced).
 
     Few and short fragments are joined. Longer lists are cut into neighbouring groups of at least
     two fragments and at most ``group_tokens`` tokens; ``reduce`` makes one text of each group,
-    and the list, at most about half as long, goes round again. Groups never span more than SEGMENT fragments, so a
-    hub is summarised by many tasks; only its last, short list meets in one place.
+    and the list, at most about half as long, goes round again. Every list is also cut after each
+    ``segment`` fragments, so a hub is summarised by many tasks and only its last, short list meets
+    in one place; ``segment=None`` groups each list as a whole. A list that does not become short
+    enough in ``max_rounds`` raises.
     """
     from .scale import cut_lineage
 
@@ -276,11 +279,10 @@ def summarise(
         finished = _reduce_last(last, keys, reduce)
         done = finished if done is None else done.unionByName(finished)
         open_rows = sized.join(totals.filter(~small).select(*keys), keys, "left_semi")
-        rows = cut_lineage(_reduce_groups(open_rows, keys, reduce, group_tokens))
+        rows = cut_lineage(_reduce_groups(open_rows, keys, reduce, group_tokens, segment))
         if rows.isEmpty():
             return done
-    rest = rows.withColumn("_n", token_count(F.col("description")))
-    return done.unionByName(_reduce_last(rest.withColumn("_was", F.lit(True)), keys, reduce))
+    raise RuntimeError(f"descriptions did not become short enough in {max_rounds} rounds; is ``reduce`` shortening them?")
 
 
 def _reduce_last(rows: DataFrame, keys: list[str], reduce) -> DataFrame:
@@ -301,38 +303,36 @@ def _reduce_last(rows: DataFrame, keys: list[str], reduce) -> DataFrame:
     )
 
 
-def _reduce_groups(rows: DataFrame, keys: list[str], reduce, limit: int) -> DataFrame:
-    """Greedy groups of neighbours inside segments of a key, each reduced to one row."""
-    segment = rows.withColumn("_seg", F.floor((F.col("ordinal") - 1) / SEGMENT))
-    schema = segment.select(*keys, "ordinal", "description", "reduced").schema
+def group_bounds(sizes: np.ndarray, limit: int) -> list[int]:
+    """Where neighbouring groups begin, and the end: as many as fit into ``limit``, two at least."""
+    upto = np.append(0, np.cumsum(sizes))
+    bounds = [0]
+    while bounds[-1] < len(sizes):
+        first = bounds[-1]
+        fitting = int(np.searchsorted(upto, upto[first] + limit, "right")) - 1
+        bounds.append(min(len(sizes), max(fitting, first + 2)))
+    return bounds
+
+
+def _reduce_groups(rows: DataFrame, keys: list[str], reduce, limit: int, segment: int | None) -> DataFrame:
+    """Groups of neighbours inside segments of a key, each reduced to one row."""
+    cut = F.floor((F.col("ordinal") - 1) / segment) if segment else F.lit(0)
+    cut_rows = rows.withColumn("_seg", cut)
+    schema = cut_rows.select(*keys, "ordinal", "description", "reduced").schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        groups: list[list[int]] = []
-        used = 0
-        for i, n in enumerate(pdf["_n"]):
-            if groups and used + n > limit and len(groups[-1]) >= 2:
-                groups.append([i])
-                used = n
-            elif groups and used + n > limit and len(groups[-1]) == 1:
-                groups[-1].append(i)  # at least two per group, even when too long
-                groups.append([])
-                used = 0
-            else:
-                if not groups:
-                    groups.append([])
-                groups[-1].append(i)
-                used += n
-        out = []
-        for group in filter(None, groups):
-            part = pdf.iloc[group]
-            text = part["description"].iloc[0] if len(group) == 1 else reduce(list(part["description"]))
-            out.append([*pdf.iloc[0][keys], part["ordinal"].iloc[0], text, True])
-        return pd.DataFrame(out, columns=[*keys, "ordinal", "description", "reduced"])
-
-    merged = segment.groupBy(*keys, "_seg").applyInPandas(run, schema)
+        bounds = group_bounds(pdf["_n"].to_numpy(), limit)
+        texts = pdf["description"].tolist()
+        out = pdf.iloc[bounds[:-1]][[*keys, "ordinal"]].copy()
+        out["description"] = [texts[a] if b - a == 1 else reduce(texts[a:b]) for a, b in zip(bounds, bounds[1:])]
+        out["reduced"] = True
+        return out
+
+    coarse = F.floor(F.col("_o") / segment) if segment else F.lit(0)
+    merged = cut_rows.groupBy(*keys, "_seg").applyInPandas(run, schema)
     return rank_in_groups(
-        merged.withColumnRenamed("ordinal", "_o"), keys, [F.col("_o").asc()], F.floor(F.col("_o") / SEGMENT), "ordinal"
+        merged.withColumnRenamed("ordinal", "_o"), keys, [F.col("_o").asc()], coarse, "ordinal"
     ).drop("_o")
 
 

@@ -16,7 +16,6 @@ from .scale import cut_lineage, salt, salted_join, spread, top_per_key
 DECAY, HOPS = 0.72, 2
 ALPHA, STEPS = 0.85, 20
 SEED_COSINE, SEED_LABEL_SCORE, SEED_LIMIT = 0.5, 0.8, 8
-SECOND_HOP_NODES = 40
 GRAPH_RANK = 0.85
 SALTS = 8
 

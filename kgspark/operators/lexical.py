@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import patterns as P
 from kgspark.functions.text import tokens
 
-from .scale import broadcast_if_small, top_per_key
+from .scale import top_per_key, written
 
 # Fixed values of the ranking function and its calibration.
 K1, B = 1.5, 0.75
@@ -40,8 +40,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
     ``docs`` (doc_id, text, *scope) and ``queries`` (query_id, text, *scope); with ``scope`` the
     corpus statistics are those of the scope and a query sees only its own scope. Only postings
     of query terms leave the scan, and a repeated query term counts as often as it is repeated.
-    The query side is broadcast when its checked size allows; otherwise the joins shuffle by term
-    and adaptive execution splits frequent terms.
+    Texts stay where they are: the query side and the postings are written once, the query side is
+    broadcast while its bytes allow, and what is shuffled are postings and partial sums.
     """
     scope = scope or []
     asked = (
@@ -49,17 +49,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
         .groupBy("query_id", *scope, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    asked_once = broadcast_if_small(asked)
-    small = asked_once is not asked
-    vocabulary = asked.select(*scope, "term").distinct()
-    # Partitioned by document once: postings and scores are then combined without a shuffle.
-    by_doc = docs.select("doc_id", *scope, "text").repartition("doc_id")
-    sized = by_doc.select("doc_id", *scope, tokens(F.col("text")).alias("_toks")).withColumn("dl", F.size("_toks"))
-    # Document frequencies and scores both read the postings. Tokenising the (reused) exchange
-    # twice is cheaper than writing postings, and scoring keeps the partitioning by document.
-    postings = (
+    asked = written(asked)
+    vocabulary = written(asked.select(*scope, "term").distinct())
+    sized = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_toks")).withColumn("dl", F.size("_toks"))
+    # A document is one row, so its counts are complete in its task before anything is shuffled.
+    postings = written(
         sized.select("doc_id", *scope, "dl", F.explode("_toks").alias("term"))
-        .join(F.broadcast(vocabulary) if small else vocabulary, [*scope, "term"], "left_semi")
+        .join(vocabulary, [*scope, "term"], "left_semi")
         .groupBy("doc_id", *scope, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -69,14 +65,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
     found = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stats = found.join(corpus, scope) if scope else found.crossJoin(corpus)  # corpus: one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(stats.withColumn("idf", idf), [*scope, "term"]).select(
+    weights = written(asked.join(stats.withColumn("idf", idf), [*scope, "term"]).select(
         "query_id", *scope, "term", "avgdl", (F.col("idf") * F.col("qtf")).alias("w")
-    )
+    ))
     average = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     damped = F.col("tf") + K1 * (1 - B + B * F.col("dl") / average)
     part = F.col("w") * F.col("tf") * (K1 + 1) / damped
+    # Postings of asked terms meet by document, so that no pair of query and document is shuffled.
     return (
-        postings.join(F.broadcast(weights) if small else weights, [*scope, "term"])
+        postings.repartition("doc_id").join(weights, [*scope, "term"])
         .groupBy("query_id", "doc_id", *scope)
         .agg(F.sum(part).alias("score"))
     )

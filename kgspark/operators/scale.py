@@ -8,6 +8,7 @@ inside the segments in parallel and then carry one small row per segment across.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,12 +36,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 500_000  # narrow rows: a few dozen megabytes at most
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, with a size in bytes that the planner knows.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose row count has been checked; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    Joins with such a side are broadcast while it is below ``spark.sql.autoBroadcastJoinThreshold``, and
+    shuffled beyond it.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:

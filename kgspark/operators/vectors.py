@@ -16,10 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.functions.text import tokens
+from kgspark.functions.text import bind, tokens
 
 from .lexical import by_score, calibrate_cosine
-from .scale import broadcast_if_small, spread, top_per_key
+from .scale import spread, top_per_key, written
 
 # Fixed values.
 SLOTS = 16384
@@ -36,26 +36,33 @@ def slot(token: Column) -> Column:
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Sparse L2-normalised bag of words: (id, *keep, slot, w)."""
+    """Sparse L2-normalised bag of words: (id, *keep, slot, w).
+
+    Slots are counted inside the row, so neither texts nor counts are shuffled.
+    """
     keys = [id_col, *(keep or [])]
-    # Partitioned by document once; counting, hashing and the norm need no further shuffle, and
-    # every distinct token of a document is hashed once.
-    words = (
-        df.select(*keys, text).repartition(id_col).select(*keys, F.explode(tokens(F.col(text))).alias("_t"))
-        .groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    counts = words.groupBy(*keys, slot(F.col("_t")).alias("slot")).agg(F.sum("_n").cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(id_col)))
-    return counts.select(*keys, "slot", (F.col("n") / norm).alias("w"))
+    slots = F.array_sort(F.transform(tokens(F.col(text)), slot))
+
+    def counted(s: Column) -> Column:
+        """Where each slot begins in the sorted list, and how often it stands there."""
+        new = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        runs = bind(new, lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i - 1).alias("slot"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - i).cast("double").alias("n"),
+        )))
+        return F.when(F.size(s) > 0, runs)
+
+    rows = df.select(*keys, bind(slots, counted).alias("_c"))
+    squares = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"])
+    rows = rows.select(*keys, F.sqrt(squares).alias("_norm"), F.explode("_c").alias("_e"))
+    return rows.select(*keys, "_e.slot", (F.col("_e.n") / F.col("_norm")).alias("w"))
 
 
 def sparse_cosine(docs: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Non-zero cosines of sparse unit vectors: (query_id, doc_id, *scope, score)."""
     scope = scope or []
     asked = queries.select("query_id", *scope, "slot", F.col("w").alias("_qw"))
-    # With a broadcast query side the documents keep their partitioning for the sum.
     return (
-        docs.join(broadcast_if_small(asked), [*scope, "slot"])
+        docs.join(written(asked), [*scope, "slot"])
         .groupBy("query_id", "doc_id", *scope)
         .agg(F.sum(F.col("w") * F.col("_qw")).alias("score"))
     )
@@ -134,22 +141,31 @@ def nearest(
     k: int,
     threshold: float | None = DENSE_THRESHOLD,
     cell: str | None = None,
-    salts: int = 16,
+    salts: int | None = None,
     corpus_block: int = 4096,
     query_block: int = 256,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Best ``k`` cosines per query: (query_id, doc_id, score, rank).
 
     ``corpus`` (doc_id, embedding), ``queries`` (query_id, embedding). With ``cell`` (a column on
-    both sides: a scope or an index cell) only vectors of the same cell are compared; a hot cell
-    is spread over ``salts`` tasks. A query may appear in several cells.
+    both sides: a scope or an index cell) only vectors of the same cell are compared. A query may
+    appear in several cells. Both sides are packed where they are. Query blocks of up to
+    ``broadcast_bytes`` (measured) go to the corpus, which then stays in place; more of them meet the
+    corpus blocks in a shuffle in which a cell is spread over ``salts`` tasks, by default one for
+    every four blocks of the corpus.
     """
     if cell is None:
         corpus, queries = corpus.withColumn("_c0", F.lit(0)), queries.withColumn("_c0", F.lit(0))
         cell = "_c0"
-    left = _pack(corpus, "doc_id", cell, salts, corpus_block)
-    right = _pack(queries.repartition(cell), "query_id", cell, None, query_block).drop("_salt")
-    right = spread(right, salts).withColumnRenamed("_ids", "_qids").withColumnRenamed("_mat", "_qmat")
+    right = written(_pack(queries, "query_id", cell, None, query_block).drop("_salt"))
+    right = right.withColumnRenamed("_ids", "_qids").withColumnRenamed("_mat", "_qmat")
+    size = right.agg(F.sum(F.length("_qmat"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        left, right, keys = _pack(corpus, "doc_id", cell, None, corpus_block), F.broadcast(right), ["_cell", "_dim"]
+    else:
+        salts = salts or max(1, -(-corpus.count() // (4 * corpus_block)))
+        left, right, keys = _pack(corpus, "doc_id", cell, salts, corpus_block), spread(right, salts), ["_cell", "_salt", "_dim"]
     doc_type, query_type = corpus.schema["doc_id"].dataType, queries.schema["query_id"].dataType
     schema = T.StructType(
         [
@@ -171,7 +187,7 @@ def nearest(
                 col = np.repeat(np.arange(len(asked)), [len(p) for p in picks])
                 yield pd.DataFrame({"query_id": asked[col], "doc_id": docs[at], "score": scores[at, col]})
 
-    blocks = left.join(right, ["_cell", "_salt", "_dim"])
+    blocks = left.join(right, keys)
     named = blocks.select("_ids", "_mat", "_qids", "_qmat", "_dim").toDF("ids", "mat", "qids", "qmat", "dim")
     found = named.mapInPandas(multiply, schema)
     return top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
@@ -202,16 +218,44 @@ def approximate_nearest(
     threshold: float | None = None,
 ) -> DataFrame:
     """Inverted-file search: exact scores inside the ``probes`` cells nearest to each query."""
-    keyed = centres.select(F.col("cell").alias("doc_id"), "embedding")
-    home = nearest(
-        keyed, corpus.select(F.col("doc_id").alias("query_id"), "embedding"), 1, None
-    ).select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("cell"))
-    visit = nearest(keyed, queries.select("query_id", "embedding"), probes, None).select(
-        "query_id", F.col("doc_id").alias("cell")
-    )
-    return nearest(
-        corpus.join(home, "doc_id"), queries.join(visit, "query_id"), k, threshold, cell="cell"
-    )
+    home = assign_cells(corpus.select("doc_id", "embedding"), centres, 1)
+    visit = assign_cells(queries.select("query_id", "embedding"), centres, probes)
+    return nearest(home, visit, k, threshold, cell="cell")
+
+
+CENTRE_BYTES = 64 << 20
+
+
+def assign_cells(vectors: DataFrame, centres: DataFrame, cells: int) -> DataFrame:
+    """``vectors`` with one row for each of the ``cells`` centres of greatest cosine, in column ``cell``.
+
+    Centres go to the tasks of the scan and are checked to be at most CENTRE_BYTES. Vectors that are
+    NULL, empty or of another length have no cell and are left out; equal cosines go to the smaller cell.
+    """
+    held = centres.orderBy("cell").limit(CENTRE_BYTES // 8 + 1).collect()
+    if sum(len(r["embedding"]) * 8 for r in held) > CENTRE_BYTES:
+        raise ValueError("too many centres to assign cells in the scan; use fewer cells")
+    names = [r["cell"] for r in held]
+    matrix = np.array([r["embedding"] for r in held], np.float64).reshape(len(held), -1)
+    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fits = [v is not None and len(v) == matrix.shape[1] > 0 for v in pdf["embedding"]]
+            pdf = pdf[fits]
+            if not len(pdf):
+                continue
+            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            size = np.linalg.norm(mat, axis=1, keepdims=True)
+            scores = np.round(np.divide(mat, size, out=np.zeros_like(mat), where=size > 0) @ matrix.T, _DIGITS)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :cells]
+            out = pdf.loc[pdf.index.repeat(order.shape[1])].copy()
+            out["cell"] = np.array(names, dtype="int32")[order.ravel()]
+            yield out
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())])
+    return vectors.mapInPandas(assign, schema)
 
 
 def synonym_targets(neighbours: DataFrame, threshold: float = SYNONYM_THRESHOLD, limit: int = SYNONYM_LIMIT) -> DataFrame:

@@ -17,8 +17,7 @@ from .scale import next_value, previous_row
 
 # Fixed values.
 SIMILAR, SAME_PLACE, MOVED = 0.48, 0.25, 0.85
-DIFF_LIMIT, DIFF_CHARS = 40, 500
-DIFF_LABELS = {"replace": "修改", "delete": "删除", "insert": "新增"}
+DIFF_LABELS = {"delete": "删除", "insert": "新增"}
 KINDS = ("unchanged", "added", "modified", "deleted", "moved")
 
 
@@ -38,31 +37,27 @@ def structure_hash(units: DataFrame, columns: list[str], order: str, id_col: str
     return rows.select(id_col, F.sha2(F.array_join("_u.l", "\n"), 256).alias("structure_hash"))
 
 
-def _similar(keys: list[str]):
-    """Greedy pairing of the chunks of one document that exact matching left over."""
-
-    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        key = list((old if len(old) else new)[keys].iloc[0])
-        left = old.sort_values("pos").to_dict("records")
-        out = []
-        for item in new.sort_values("pos").to_dict("records"):
-            best, best_score = None, -1.0
-            for other in left:
-                score = SequenceMatcher(None, other["body"], item["body"]).ratio()
-                score += SAME_PLACE if other["anchor"] == item["anchor"] else 0.0
-                if score > best_score:
-                    best, best_score = other, score
-            if best is None or best_score < SIMILAR:
-                out.append([*key, "added", None, item["pos"], None])
-                continue
-            left.remove(best)
-            moved = best["anchor"] != item["anchor"] and best_score >= MOVED
-            out.append([*key, "moved" if moved else "modified", best["pos"], item["pos"], round(best_score, 6)])
-        out += [[*key, "deleted", other["pos"], None, None] for other in left]
-        frame = pd.DataFrame(out, columns=[*keys, "kind", "old_pos", "new_pos", "similarity"])
-        return frame.astype({"old_pos": "Int64", "new_pos": "Int64"})
-
-    return run
+@F.pandas_udf(T.DoubleType())
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching share of two texts as the standard library's sequence matcher gives it."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def _first_come(keys: list[str]):
+    """Matching rule over scored pairs of one document: new chunks choose in their order, each the best
+    old chunk nobody has; of equals the earlier one."""
+
+    def choose(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(["new_pos", "score", "old_pos"], ascending=[True, False, True])
+        settled, used, rows = set(), set(), []
+        for at, (new, old) in enumerate(zip(pairs["new_pos"], pairs["old_pos"])):
+            if new not in settled and old not in used:
+                settled.add(new)
+                used.add(old)
+                rows.append(at)
+        return pairs.iloc[rows]
+
+    return choose
 
 
 def compare_exact(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,19 +91,30 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     """
     keys = keys or ["doc_id"]
     matches, a, b = compare_exact(old, new, keys)
-    body = squash(F.col("content")).alias("body")
-    types = [T.StructField(k, old.schema[k].dataType) for k in keys]
-    schema = T.StructType([
-        *types, T.StructField("kind", T.StringType()), T.StructField("old_pos", T.LongType()),
-        T.StructField("new_pos", T.LongType()), T.StructField("similarity", T.DoubleType()),
-    ])
-    rows = [d.select(*keys, "pos", "anchor", body).groupBy(*keys) for d in (a, b)]
-    paired = rows[0].cogroup(rows[1]).applyInPandas(_similar(keys), schema)
+    body = squash(F.col("content"))
+    left = a.select(*keys, F.col("pos").cast("long").alias("old_pos"), F.col("anchor").alias("_a"), body.alias("_old"))
+    right = b.select(*keys, F.col("pos").cast("long").alias("new_pos"), F.col("anchor").alias("_b"), body.alias("_new"))
+    same_place = F.col("_a") == F.col("_b")
+    score = _ratio("_old", "_new") + F.when(same_place, SAME_PLACE).otherwise(0.0)
+    pairs = left.join(right, keys).select(*keys, "old_pos", "new_pos", same_place.alias("stays"), score.alias("score"))
+    pairs = pairs.filter(F.col("score") >= SIMILAR)  # weaker pairs are never chosen
+    chosen = pairs.groupBy(*keys).applyInPandas(_first_come(keys), pairs.schema)
+    moved = ~F.col("stays") & (F.col("score") >= MOVED)
+    paired = chosen.select(
+        *keys, F.when(moved, "moved").otherwise("modified").alias("kind"), "old_pos", "new_pos", F.round("score", 6).alias("similarity")
+    )
+    none = F.lit(None)
+    added = right.join(chosen.select(*keys, "new_pos"), [*keys, "new_pos"], "left_anti").select(
+        *keys, F.lit("added").alias("kind"), none.cast("long").alias("old_pos"), "new_pos", none.cast("double").alias("similarity")
+    )
+    deleted = left.join(chosen.select(*keys, "old_pos"), [*keys, "old_pos"], "left_anti").select(
+        *keys, F.lit("deleted").alias("kind"), "old_pos", none.cast("long").alias("new_pos"), none.cast("double").alias("similarity")
+    )
     same = matches.select(
         *keys, F.lit("unchanged").alias("kind"), F.col("old_pos").cast("long").alias("old_pos"),
-        F.col("new_pos").cast("long").alias("new_pos"), F.lit(None).cast("double").alias("similarity"),
+        F.col("new_pos").cast("long").alias("new_pos"), none.cast("double").alias("similarity"),
     )
-    return same.unionByName(paired)
+    return same.unionByName(paired).unionByName(added).unionByName(deleted)
 
 
 def change_summary(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,29 +122,25 @@ def change_summary(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(*counts, F.count(F.when(F.col("kind") != "unchanged", 1)).alias("changed"))
 
 
-def line_diffs(pairs: DataFrame, mark_numbers: bool = True) -> DataFrame:
-    """Line differences of (id, old, new): one row per change with its severity, at most 40 a pair."""
-    from kgspark.functions.text import numerals_changed
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "old", "new")])))
-    def diff(olds: pd.Series, news: pd.Series) -> pd.Series:
-        def lines(text):
-            cleaned = (" ".join(line.split()) for line in (text or "").splitlines())
-            return [line for line in cleaned if line]
-
-        def one(old, new):
-            a, b = lines(old), lines(new)
-            changed = [op for op in SequenceMatcher(a=a, b=b).get_opcodes() if op[0] != "equal"]
-            return [
-                {"kind": DIFF_LABELS[tag], "old": "\n".join(a[i:j])[:DIFF_CHARS], "new": "\n".join(b[k:m])[:DIFF_CHARS]}
-                for tag, i, j, k, m in changed[:DIFF_LIMIT]
-            ]
+def line_changes(old: DataFrame, new: DataFrame, keys: list[str], mark_numbers: bool = True) -> DataFrame:
+    """Lines that one version of a text has more often than the other: (keys, kind, line, times, severity).
 
-        return pd.Series([one(o, n) for o, n in zip(olds, news)])
-
-    rows = pairs.select("doc_id", F.posexplode(diff("old", "new")).alias("pos", "d"))
-    high = F.lit(mark_numbers) & numerals_changed(F.col("d.old"), F.col("d.new"))
-    return rows.select("doc_id", "pos", "d.kind", "d.old", "d.new", F.when(high, "高").otherwise("中").alias("severity"))
+    Lines are compared without outer and repeated white space, as rows: counts per line and version, no
+    text beside another in a task. A line with figures in it is severe.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        lines = df.select(*keys, F.explode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("_l"))
+        lines = lines.select(*keys, squash(F.col("_l")).alias("line")).filter("line <> ''")
+        return lines.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias(name))
+
+    both = counted(old, "_a").join(counted(new, "_b"), [*keys, "line"], "full")
+    more = F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0))
+    changed = both.select(*keys, "line", more.alias("_more")).filter("_more <> 0")
+    severe = F.lit(mark_numbers) & F.col("line").rlike("[0-9]")
+    return changed.select(
+        *keys, F.when(F.col("_more") > 0, DIFF_LABELS["insert"]).otherwise(DIFF_LABELS["delete"]).alias("kind"), "line",
+        F.abs("_more").alias("times"), F.when(severe, "高").otherwise("中").alias("severity"),
+    )
 
 
 def qa_differences(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

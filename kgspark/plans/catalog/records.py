@@ -203,22 +203,25 @@ def d2(spark, sf):
     return D2.compare(D2.decorate(_old(spark, sf)), D2.decorate(_new(spark, sf)))
 
 
-@query(
-    "D3_change_summary",
-    f"""WITH {_EXACT}, m AS (SELECT * FROM sm UNION ALL SELECT * FROM uq), c AS (SELECT doc_id, count(*) AS unchanged FROM m GROUP BY ALL)
-    SELECT doc_id, unchanged, CAST(0 AS BIGINT) AS changed FROM c""",
-)
+@query("D3_change_summary")
 def d3(spark, sf):
-    """Counts of the exact part; the similarity part is covered by D2_compare_versions."""
-    m = D2.compare_exact(D2.decorate(_old(spark, sf)), D2.decorate(_new(spark, sf)), ["doc_id"])[0]
-    return D2.change_summary(m.withColumn("kind", F.lit("unchanged")), ["doc_id"]).select("doc_id", "unchanged", "changed")
+    return D2.change_summary(D2.compare(D2.decorate(_old(spark, sf)), D2.decorate(_new(spark, sf))), ["doc_id"])
+
 
+_LINES = f"""SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, {S.squash("l")} AS line FROM
+   (SELECT doc_id, unnest(string_split(replace(text, '%s', '%s'), chr(10))) AS l FROM documents)) WHERE line <> '' GROUP BY ALL"""
 
-@query("D4_line_diffs")
+
+@query(
+    "D4_line_diffs",
+    f"""WITH o AS ({_LINES % (" the ", " the ")}), n AS ({_LINES % (" the ", " 12 the ")}),
+    d AS (SELECT doc_id, line, coalesce(n.n, 0) - coalesce(o.n, 0) AS more FROM o FULL JOIN n USING (doc_id, line))
+    SELECT doc_id, CASE WHEN more > 0 THEN '新增' ELSE '删除' END AS kind, line, abs(more) AS times,
+      CASE WHEN regexp_matches(line, '[0-9]') THEN '高' ELSE '中' END AS severity FROM d WHERE more <> 0""",
+)
 def d4(spark, sf):
-    old = D.docs(spark, sf).select("doc_id", _c("text").alias("old"))
-    new = D.docs(spark, sf).select("doc_id", F.regexp_replace("text", r"(?m)^(\w+) ", "$1 12 ").alias("new"))
-    return D2.line_diffs(old.join(new, "doc_id"))
+    old = D.docs(spark, sf).select("doc_id", "text")
+    return D2.line_changes(old, old.withColumn("text", F.replace("text", F.lit(" the "), F.lit(" 12 the "))), ["doc_id"])
 
 
 _QA = "SELECT conv_id, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role, turn FROM conversations"

@@ -20,8 +20,8 @@ def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> Data
     """Documents whose text contains a mark: (query_id, doc_id).
 
     A mark's first inner words are the join key against the same windows of the documents, so no
-    document is compared with every mark; ``contains`` confirms. Marks shorter than the key are
-    looked up by their longest inner word.
+    document is compared with every mark; ``contains`` confirms. Marks shorter than the key have no
+    inner words to look up: if there are any, that query set is tested against all documents.
     """
     def grams(words, n):
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
@@ -36,10 +36,11 @@ def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> Data
     keyed = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("_w"), anchor_words))).alias("_k"))
     pairs = keyed.join(m, "_k").select("query_id", "mark", "doc_id").distinct()
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("mark")))
-    tiny = short.filter(F.length("mark") > 0).select("query_id", "mark", F.substring("mark", 1, 1).alias("_k"))
-    chars = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("_k"))
-    rest = chars.join(tiny, "_k").filter(F.contains("text", F.col("mark")))
-    return found.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+    found = found.select("query_id", "doc_id")
+    short = short.filter(F.length("mark") > 0).select("query_id", "mark")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.contains("text", F.col("mark"))).select("query_id", "doc_id"))
 
 
 # ---- search modes -----------------------------------------------------------------------
@@ -69,14 +70,14 @@ class TextIndex:
 
 def search(
     index: TextIndex, queries: DataFrame, mode: str, top_k: int = 10, ratio: float = 0.5,
-    threshold: float | None = None, scorer=None, hypothetical: DataFrame | None = None,
+    threshold: float | None = None, scorer=None, hypothetical: DataFrame | None = None, rerank_pool: int = 50,
 ) -> DataFrame:
     """One retrieval pass for all queries: ranked, admitted, public rows.
 
-    ``scorer`` is a column function (query text, document text) that reranks a pool of 50.
+    ``scorer`` is a column function (query text, document text) that reranks the best ``rerank_pool``.
     ``hypothetical`` (query_id, text) is the assumed answer of the tree mode.
     """
-    pool = 50 if scorer else top_k
+    pool = rerank_pool if scorer else top_k
     if mode == "keyword":
         hits = index.lexical(queries, pool)
     elif mode == "hybrid":
@@ -86,8 +87,10 @@ def search(
         tree = R.tree_scores(index.dense(hypothetical if hypothetical is not None else queries, pool), index.dense(queries, pool))
         tree = top_per_key(tree, ["query_id"], by_score("ranking_score", "doc_id"), pool)
         hits = tree.select("query_id", "doc_id", "rank", F.col("ranking_score").alias("score"), F.col("query_cosine").alias("vector_score"))
+    elif mode == "vector":
+        hits = index.dense(queries, pool)
     else:
-        hits, mode = index.dense(queries, pool), "vector"
+        raise ValueError(f"unknown search mode {mode!r}; known are {', '.join(MODES)}")
     hits = R.union_channels(hits, _no_scores(hits))
     hits = hits.join(index.docs, "doc_id")
     if scorer:
@@ -188,7 +191,7 @@ def staged(
 def kg_query(
     mode: str, queries: DataFrame, entity_hits: DataFrame, relation_hits: DataFrame, chunk_hits: DataFrame,
     nodes: DataFrame, edges: DataFrame, node_sources: DataFrame, edge_sources: DataFrame,
-    top_k: int = 10, max_related: int = 5,
+    max_related: int = 5,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, relations and chunks for a mode: local, global, hybrid, mix, naive or bypass.
 
@@ -200,7 +203,7 @@ def kg_query(
     if mode in ("local", "hybrid", "mix"):
         found, around = N.local_retrieval(entity_hits.select("query_id", "name", "rank"), nodes, edges)
         order = [F.col("edge_degree").desc(), F.col("weight").desc(), F.col("src").asc(), F.col("tgt").asc()]
-        around = top_per_key(around, ["query_id"], order, top_k * top_k)
+        around = around.drop("rank").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
         lists_e.append(found.select("query_id", "name", F.col("rank").alias("pos"), F.lit(0).alias("list_no")))
         lists_r.append(around.select("query_id", "src", "tgt", F.col("rank").alias("pos"), F.lit(0).alias("list_no")))
     if mode in ("global", "hybrid", "mix"):
@@ -234,7 +237,8 @@ def kg_query(
 def _owned(ranked: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """Chunks of ranked elements with both positions; a hub's list is numbered in segments."""
     rows = ranked.select("query_id", *keys, (F.col("rank") - 1).alias("owner_pos")).join(sources.select(*keys, "source_id"), keys)
-    segment = F.substring(F.col("source_id").cast("string"), 1, 2)
+    # Ascends with the id and differs between ids that share the usual prefix "chunk-".
+    segment = F.substring(F.col("source_id").cast("string"), 1, 8)
     placed = rank_in_groups(rows, ["query_id", "owner_pos"], [F.col("source_id").cast("string").asc()], segment, "chunk_pos")
     return placed.select("query_id", "owner_pos", "chunk_pos", F.col("source_id").alias("chunk_id"))
 

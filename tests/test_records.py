@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -32,10 +33,33 @@ def test_versions_compare(spark):
     assert (summary["unchanged"], summary["changed"]) == (2, 3)
 
 
-def test_line_diffs_mark_numbers(spark):
-    df = spark.createDataFrame([(1, "a\nb 1\nc", "a\nb 2\nc\nd")], "doc_id INT, old STRING, new STRING")
-    got = [(r["kind"], r["old"], r["new"], r["severity"]) for r in D.line_diffs(df).orderBy("pos").collect()]
-    assert got == [("修改", "b 1", "b 2", "高"), ("新增", "", "d", "中")]
+def test_line_changes_mark_numbers(spark):
+    old = spark.createDataFrame([(1, "a\nb  1\nc\nc"), (2, None)], "doc_id INT, text STRING")
+    new = spark.createDataFrame([(1, "a\nb 2\nc\nd\na\na")], "doc_id INT, text STRING")
+    got = {tuple(r) for r in D.line_changes(old, new, ["doc_id"]).collect()}
+    assert got == {(1, "删除", "b 1", 1, "高"), (1, "删除", "c", 1, "中"), (1, "新增", "b 2", 1, "高"), (1, "新增", "d", 1, "中"), (1, "新增", "a", 2, "中")}
+
+
+def test_similar_chunks_choose_in_order(spark):
+    """Against a loop over the chunks that are left: each new one takes the best old one nobody has."""
+    rng = random.Random(4)
+    words = "red green blue long short table number".split()
+    make = lambda: [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(6)]
+    for _ in range(3):
+        before, after = make(), make()
+        frames = [spark.createDataFrame([(1, i, t) for i, t in enumerate(x)], "doc_id INT, pos INT, content STRING") for x in (before, after)]
+        rows = D.compare(*[D.decorate(f) for f in frames]).collect()
+        kept = {r["old_pos"]: r["new_pos"] for r in rows if r["kind"] == "unchanged"}
+        left, want = [i for i in range(6) if i not in kept], {}
+        for j in range(6):
+            if j in kept.values():
+                continue
+            scored = [(SequenceMatcher(None, before[i], after[j]).ratio() + (0.25 if i == j else 0), -i) for i in left]
+            score, i = max(scored, default=(0, 0))
+            if score >= D.SIMILAR:
+                left.remove(-i)
+                want[j] = -i
+        assert {r["new_pos"]: r["old_pos"] for r in rows if r["kind"] in ("modified", "moved")} == want
 
 
 def test_rounds(spark):

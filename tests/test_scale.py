@@ -74,12 +74,36 @@ def test_bm25_never_shuffles_query_document_pairs(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_hashed_embedding_shuffles_once(spark):
+def test_bm25_shuffles_no_texts(spark):
+    from kgspark.operators.lexical import keyword_hits
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} common words") for i in range(50)], "doc_id LONG, text STRING")
+    plan = _plan(keyword_hits(docs, docs.limit(2).withColumnRenamed("doc_id", "query_id"), 3))
+    assert "text" not in plan  # postings are a table of their own by then
+
+
+def test_dense_search_funnels_neither_side(spark):
+    from kgspark.operators.vectors import approximate_nearest, nearest
+
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "doc_id LONG, embedding ARRAY<DOUBLE>").repartition(4)
+    queries = corpus.withColumnRenamed("doc_id", "query_id")
+    centres = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 1.0])], "cell INT, embedding ARRAY<DOUBLE>")
+    exact = nearest(corpus, queries, 3)
+    shuffled = nearest(corpus, queries, 3, broadcast_bytes=0)
+    near = approximate_nearest(corpus, queries, 3, centres, probes=2, threshold=0.15)
+    for found in (exact, shuffled, near):
+        assert "SinglePartition" not in _plan(found)
+    want = sorted(map(tuple, exact.collect()))
+    assert sorted(map(tuple, shuffled.collect())) == want and sorted(map(tuple, near.collect())) == want
+
+
+def test_hashed_embedding_shuffles_nothing(spark):
     from kgspark.operators.vectors import hashed_embedding
 
     docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id LONG, text STRING")
     plan = _plan(hashed_embedding(docs, "doc_id"))
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange") == 0
 
 
 def test_chunking_shuffles_nothing(spark):
