@@ -1,6 +1,7 @@
 """Document probabilities of a subword lattice.
 
-A vocabulary of subword pieces is given; its unigram weights are learnt from the training documents. The
+A vocabulary of subword pieces is given; its unigram weights are learnt from the distinct words of the
+training documents, in runs of RUN_BYTES of text. The
 probability of a word is the sum over all ways to cut it into pieces of the product of their weights, by
 a forward recursion in log space; that of a text is the product over its words and the end of the text.
 A word is its bytes after a word mark. Every byte is a piece too, so every text has a probability. Words
@@ -45,7 +46,7 @@ class Lattice:
     """Log10 weights of pieces by their bytes, and the forward recursion over many words at once."""
 
     def __init__(self, path: str, counts: np.ndarray, ends: int):
-        """``counts``: uses of each piece in training; ``ends``: training texts. Every event gets one more."""
+        """``counts``: uses of each piece in words of training; ``ends``: training texts. Every event gets one more."""
         model = load_pieces(path)
         weights = np.log10((counts + 1.0) / (counts.sum() + ends + len(counts) + 1.0))
         self.end = math.log10((ends + 1.0) / (counts.sum() + ends + len(counts) + 1.0))
@@ -159,8 +160,7 @@ def _train_counts(path: str, buckets: int, salts: int):
                 for a in range(0, len(some), 10_000):
                     cut = model.encode(some[a:a + 10_000])
                     flat = np.array([i for ids in cut for i in ids], np.int64)
-                    uses = np.repeat(counts[a:a + 10_000], [len(ids) for ids in cut])
-                    pieces += np.bincount(flat, uses, len(pieces)).astype(np.int64)
+                    pieces += np.bincount(flat, minlength=len(pieces))  # once per distinct word: pieces stand for new ones
                 at = int(np.searchsorted(keys, END_KEY))
                 keys, counts = np.insert(keys, at, END_KEY), np.insert(counts, at, high - low)
                 found, bounds = bucket_slices(keys, buckets)
