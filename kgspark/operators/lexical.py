@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import patterns as P
-from kgspark.functions.text import tokens
+from kgspark.functions.text import bind, tokens
 
 from .scale import top_per_key, written
 
@@ -79,6 +81,20 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, scope: list[str] | None = N
     )
 
 
+def single_bm25(query: Column, text: Column) -> Column:
+    """BM25 of one text that is a corpus by itself: all idf are equal, its length is the average."""
+    idf = math.log(1 + 0.5 / 1.5)
+
+    def scored(words: Column) -> Column:
+        def add(total: Column, term: Column) -> Column:
+            tf = F.size(F.filter(words, lambda w: w == term))
+            return total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1)).otherwise(0.0)
+
+        return F.aggregate(tokens(query), F.lit(0.0), add)
+
+    return bind(tokens(text), scored)
+
+
 def by_score(score: str, id_col: str) -> list[Column]:
     """Best first; float noise below 1e-9 does not decide, the id does."""
     return [F.round(score, 9).desc(), F.col(id_col).asc()]

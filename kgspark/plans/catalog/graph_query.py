@@ -209,8 +209,7 @@ def _asked(spark, sf, nodes):
     return q.select("query_id", F.concat("text", F.lit(" "), F.coalesce("label", F.lit(""))).alias("text"))
 
 
-@query("N13_graph_hits")
-def n13(spark, sf):
+def reached(spark, sf, limit):
     nodes = _labelled(spark, sf)
     asked = _asked(spark, sf, nodes)
     # Documents are linked when they share their longest token; sources are the documents.
@@ -219,7 +218,12 @@ def n13(spark, sf):
     vector = D.dense_hits(spark, sf, 8).select("query_id", F.col("doc_id").alias("name"), "score")
     seed = N.seeds(vector, nodes, asked)
     sources = nodes.select("name", F.col("name").alias("source_id"))
-    hits = N.graph_hits(seed, edges, sources, asked, nodes, 20)
+    return N.graph_hits(seed, edges, sources, asked, nodes, limit)
+
+
+@query("N13_graph_hits")
+def n13(spark, sf):
+    hits = reached(spark, sf, 20)
     return hits.select("query_id", "chunk_id", "hop", "path", F.round("score", 6).alias("score"), F.round("ranking_score", 6).alias("ranking_score"))
 
 

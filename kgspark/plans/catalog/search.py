@@ -62,6 +62,28 @@ def r21_reranked(spark, sf):
     return Q.search(_index(spark, sf), D.queries(spark, sf), "hybrid", 5, scorer=token_overlap)
 
 
+@query("R21_search_graph")
+def r21_graph(spark, sf):
+    from kgspark.plans.catalog.graph_query import reached
+
+    found = reached(spark, sf, 10)
+    return Q.search(_index(spark, sf), D.queries(spark, sf), "graph", 10, threshold=0.5, found=found)
+
+
+@query("R21_search_mix")
+def r21_mix(spark, sf):
+    index, asked = _index(spark, sf), D.queries(spark, sf)
+    entities, relations, chunks = _kg(spark, sf, "mix")
+    chunks = cut_lineage(chunks)
+    # Labels of vectors ask the graph; the benchmark text of the same number asks the index.
+    scored = V.nearest(D.vectors(spark, sf), D.label_queries(spark, sf), 10)
+    known = scored.select("query_id", F.concat(F.lit("P"), "doc_id").alias("name"), "score")
+    mine = entities.join(known, ["query_id", "name"], "left")
+    theirs = relations.withColumn("score", F.lit(None).cast("double"))
+    found = Q.mix_hits(index, asked, chunks, mine, theirs, 10)
+    return Q.search(index, asked, "mix", 10, found=found)
+
+
 @query("R22_staged_search")
 def r22(spark, sf):
     return Q.staged(_index(spark, sf), D.queries(spark, sf), "hybrid", 8, scorer=token_overlap)

@@ -13,7 +13,7 @@ from kgspark.operators import graph_query as N
 from kgspark.operators import lexical as L
 from kgspark.operators import vectors as V
 from kgspark.operators.lexical import by_score
-from kgspark.operators.scale import cut_lineage, rank_in_groups, top_per_key
+from kgspark.operators.scale import cut_lineage, rank_in_groups, top_per_key, written
 
 
 def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> DataFrame:
@@ -45,37 +45,78 @@ def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> Data
 
 # ---- search modes -----------------------------------------------------------------------
 
-MODES = ("vector", "keyword", "hybrid", "tree")
+MODES = ("vector", "keyword", "hybrid", "tree", "graph", "mix")
 
 
 class TextIndex:
     """Documents prepared for retrieval: text, ownership, sparse vectors.
 
-    ``docs`` (doc_id, text, kb_id, owner_id). The sparse vectors are computed once per index.
+    ``docs`` (doc_id, text, kb_id, owner_id). The sparse vectors are written once per index, when first used.
     """
 
     def __init__(self, docs: DataFrame, scope: list[str] | None = None):
         self.docs, self.scope = docs, scope or []
-        self.vectors = V.hashed_embedding(docs, "doc_id", keep=self.scope)
+        self._vectors = None
+
+    @property
+    def vectors(self) -> DataFrame:
+        if self._vectors is None:
+            self._vectors = written(V.hashed_embedding(self.docs, "doc_id", keep=self.scope))
+        return self._vectors
 
     def dense(self, queries: DataFrame, k: int) -> DataFrame:
         asked = V.hashed_embedding(queries, "query_id", keep=self.scope)
         hits = V.sparse_hits(self.vectors, asked, k, scope=self.scope)
         return hits.select("query_id", "doc_id", "rank", "score", "raw_score", "vector_score")
 
+    def cosines(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """Cosine of each (query_id, doc_id) of ``pairs``; pairs without a common slot are absent."""
+        asked = V.hashed_embedding(queries, "query_id").select("query_id", "slot", F.col("w").alias("_qw"))
+        mine = pairs.select("query_id", "doc_id").join(self.vectors.select("doc_id", "slot", "w"), "doc_id")
+        return mine.join(asked, ["query_id", "slot"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("_qw")).alias("cosine"))
+
     def lexical(self, queries: DataFrame, k: int) -> DataFrame:
         hits = L.keyword_hits(self.docs.select("doc_id", "text", *self.scope), queries, k, self.scope)
         return hits.select("query_id", "doc_id", "rank", "score", "raw_score", "keyword_score")
 
 
+def mix_hits(
+    index: TextIndex, queries: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, k: int
+) -> DataFrame:
+    """Hits of a mixed question to the knowledge graph: (query_id, doc_id, score, vector_score, keyword_score).
+
+    ``chunks`` (query_id, rank, chunk_id) as ``kg_query`` gives them are scored by cosine, or by keywords
+    where they have none in common. Entities (query_id, name, score) and relations (query_id, src, tgt,
+    score) compete for places with their own cosine, but belong to no document.
+    """
+    first = chunks.filter(F.col("rank") <= k).select("query_id", F.col("chunk_id").alias("doc_id"))
+    texts = first.join(index.docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", F.col("text").alias("_q")), "query_id")
+    scored = texts.join(index.cosines(first, queries), ["query_id", "doc_id"], "left")
+    keyword = L.calibrate_bm25(L.single_bm25(F.col("_q"), F.col("text")))
+    cosine = F.when(F.col("cosine").isNotNull(), L.calibrate_cosine(F.col("cosine")))
+    scored = scored.select("query_id", "doc_id", cosine.alias("vector_score"), keyword.alias("keyword_score"))
+    fallback = F.when(F.col("keyword_score") > 0, F.col("keyword_score")).otherwise(0.0)
+    rows = scored.select("query_id", "doc_id", F.coalesce("vector_score", fallback).alias("score"), "vector_score", "keyword_score")
+    for named in (entities, relations):
+        value = L.calibrate_cosine(F.col("score"))
+        rows = rows.unionByName(named.filter(F.col("score").isNotNull()).select(
+            "query_id", F.lit(None).cast(index.docs.schema["doc_id"].dataType).alias("doc_id"),
+            value.alias("score"), value.alias("vector_score"), F.lit(0.0).alias("keyword_score"),
+        ))
+    return rows
+
+
 def search(
     index: TextIndex, queries: DataFrame, mode: str, top_k: int = 10, ratio: float = 0.5,
     threshold: float | None = None, scorer=None, hypothetical: DataFrame | None = None, rerank_pool: int = 50,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """One retrieval pass for all queries: ranked, admitted, public rows.
 
     ``scorer`` is a column function (query text, document text) that reranks the best ``rerank_pool``.
-    ``hypothetical`` (query_id, text) is the assumed answer of the tree mode.
+    ``hypothetical`` (query_id, text) is the assumed answer of the tree mode. ``found`` brings what the
+    modes graph (``graph_query.graph_hits``, with documents as chunks) and mix (``mix_hits``) found in
+    the knowledge graph. Any other mode raises.
     """
     pool = rerank_pool if scorer else top_k
     if mode == "keyword":
@@ -89,10 +130,17 @@ def search(
         hits = tree.select("query_id", "doc_id", "rank", F.col("ranking_score").alias("score"), F.col("query_cosine").alias("vector_score"))
     elif mode == "vector":
         hits = index.dense(queries, pool)
+    elif mode in ("graph", "mix"):
+        if found is None:
+            raise ValueError(f"mode {mode!r} ranks hits of the knowledge graph; give them as ``found``")
+        if mode == "graph":
+            found = found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("ranking_score").alias("score"), "vector_score", "keyword_score")
+        order = [F.round("score", 9).desc(), F.col("doc_id").asc_nulls_first()]
+        hits = top_per_key(found, ["query_id"], order, pool)
     else:
         raise ValueError(f"unknown search mode {mode!r}; known are {', '.join(MODES)}")
     hits = R.union_channels(hits, _no_scores(hits))
-    hits = hits.join(index.docs, "doc_id")
+    hits = hits.join(index.docs, "doc_id", "left" if mode == "mix" else "inner")
     if scorer:
         asked = queries.select("query_id", F.col("text").alias("_q"))
         hits = hits.join(asked, "query_id").withColumn("rerank_score", scorer(F.col("_q"), F.col("text"))).drop("_q")
