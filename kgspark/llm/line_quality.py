@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import arrays
+from kgspark.llm.common import hash_sample
 
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_LINES = 200
@@ -197,7 +198,7 @@ def train(df: DataFrame, labels: DataFrame, use: Column) -> dict:
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & use)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    sample = hash_sample(known, "doc_id", SAMPLE_DOCUMENTS)
     # The sample is bounded, so it can go to every task of the scan.
     rows = df.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     limited = F.array_join(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES), "\n")
