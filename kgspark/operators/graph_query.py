@@ -247,21 +247,21 @@ def pagerank_retrieval(edges: DataFrame, nodes: DataFrame, hits: DataFrame, top_
 def label_seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Nodes whose label stands in the query, longest label only: (query_id, name, score).
 
-    The first six characters of a label, or the whole of a shorter one, are the join key; the
-    query offers all its distinct grams of these lengths. The substring test then decides.
+    A query offers its distinct substrings of every length that labels have, so a label is met by equality
+    with the whole of it: labels that begin alike are different keys, and texts stay out of the join.
     """
+    labelled = nodes.filter(F.length("label") >= 2).select("name", "label")
+    sizes = labelled.agg(F.sort_array(F.collect_set(F.length("label"))).alias("_sizes"))  # one row, short
 
-    def grams(text, n):
-        last = F.greatest(F.length(text) - (n - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(n)))
+    def grams(n):
+        fits = F.sequence(F.lit(1), F.length("text") - n + 1)
+        return F.when(F.length("text") >= n, F.transform(fits, lambda i: F.col("text").substr(i, n))).otherwise(F.array().cast("array<string>"))
 
-    labelled = nodes.filter(F.length("label") >= 2).select("name", "label")
-    keyed = labelled.select("name", "label", F.substring("label", 1, 6).alias("_k"))
-    offered = F.array_distinct(F.concat(*[grams(F.col("text"), n) for n in range(2, 7)]))
-    asked = queries.select("query_id", "text", F.explode(offered).alias("_k"))
-    hits = keyed.join(asked, "_k").filter(F.contains("text", F.col("label"))).select("query_id", "name", "label").distinct()
+    asked = queries.select("query_id", "text").crossJoin(F.broadcast(sizes))
+    offered = F.explode(F.array_distinct(F.flatten(F.transform("_sizes", grams))))
+    hits = asked.select("query_id", offered.alias("label")).join(labelled, "label")
     longest = hits.groupBy("query_id").agg(F.max(F.length("label")).alias("_n"))
-    best = hits.join(longest, "query_id").filter(F.length("label") == F.col("_n"))
+    best = hits.join(longest, "query_id").filter(F.length("label") == F.col("_n")).select("query_id", "name").distinct()
     return best.select("query_id", "name", F.lit(SEED_LABEL_SCORE).alias("score"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import graph_build as G
 from kgspark.operators import graph_query as N
 from kgspark.operators import vectors as V
-from kgspark.operators.scale import cut_lineage
+from kgspark.operators.scale import cut_lineage, top_per_key
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
 from kgspark.plans.registry import query, read
@@ -143,7 +143,7 @@ def n9(spark, sf):
     seeds = _region_seeds(spark, sf)
     pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("weight").desc(), "name"))
     ranked = seeds.select("query_id", "name", (F.col("weight") / 10000).alias("seed_score"), pos.alias("position"))
-    paths = N.expand_paths(ranked.filter("position <= 3"), D.edges(spark, sf).withColumn("label", F.lit("supplies")))
+    paths = N.expand_paths(ranked, D.edges(spark, sf).withColumn("label", F.lit("supplies")))
     return paths.select("query_id", "name", "hop", F.round("score", 6).alias("score"), F.array_join("path", " ").alias("path"))
 
 
@@ -174,7 +174,8 @@ def n10_full(spark, sf):
 def n11(spark, sf):
     hits = _region_seeds(spark, sf).select("query_id", "name", F.col("weight").alias("score"))
     edges = cut_lineage(D.edges(spark, sf))  # stands for the stored edge table
-    _, relations = N.pagerank_retrieval(edges, D.nodes(spark, sf), hits, 10, steps=5)
+    best = top_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("name").asc()], 10).drop("rank")
+    _, relations = N.pagerank_retrieval(edges, D.nodes(spark, sf), best, 10)
     return relations.select("query_id", "src", "tgt", "rank", F.round("score", 8).alias("score"))
 
 

@@ -176,4 +176,4 @@ def r24_naive(spark, sf):
 def e5(spark, sf):
     expected = _expected(spark, sf)
     questions = _questions(spark, sf, expected).join(D.queries(spark, sf), "query_id")
-    return Q.ablation(_index(spark, sf), questions, expected, ("single", "subquestions"))
+    return Q.ablation(_index(spark, sf), questions, expected)
