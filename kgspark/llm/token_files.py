@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import hash_sample
 from kgspark.llm.tokens import encode_rows
 
 MAGIC = b"KTOK1\0"
@@ -62,8 +63,8 @@ def train_dictionary(df: DataFrame, path: str, spaces: bool, end_id: int, width:
     A corpus too small or too uniform to train on gets its sample's ids as a raw dictionary instead;
     an empty one an empty dictionary.
     """
-    sample = df.select(F.xxhash64("doc_id").alias("_h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = sample.orderBy("_h", "doc_id").limit(SAMPLE_DOCUMENTS).select("text").coalesce(1)
+    sample = hash_sample(df.select("doc_id", "text"), "doc_id", SAMPLE_DOCUMENTS)
+    sample = sample.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
