@@ -31,8 +31,8 @@ PARSED = f"""
    CAST(epoch(min(l_shipdate)) AS BIGINT) FROM pl WHERE l_linenumber % 3 = 0 GROUP BY l_orderkey),
  rl AS (SELECT chunk_id, pass, ts, list_filter(list_transform(regexp_split_to_array(result, '\\n|<\\|COMPLETE\\|>'), lambda x: trim(x)), lambda x: x <> '') AS l FROM ex),
  rc AS (SELECT chunk_id, pass, ts, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS pos FROM rl),
- fl AS (SELECT chunk_id, pass, ts, pos, list_filter(list_transform(string_split({_repaired("r")}, '<|#|>'), lambda x: trim(x)), lambda x: x <> '') AS f FROM rc),
- ent AS (SELECT chunk_id, pass, ts, pos, f[2] AS name, upper(substr(f[3], 1, 1)) || lower(substr(f[3], 2)) AS entity_type, f[4] AS description FROM fl
+ fl AS MATERIALIZED (SELECT chunk_id, pass, ts, pos, list_filter(list_transform(string_split({_repaired("r")}, '<|#|>'), lambda x: trim(x)), lambda x: x <> '') AS f FROM rc),
+ ent AS MATERIALIZED (SELECT chunk_id, pass, ts, pos, f[2] AS name, upper(substr(f[3], 1, 1)) || lower(substr(f[3], 2)) AS entity_type, f[4] AS description FROM fl
    WHERE len(f) = 4 AND contains(f[1], 'entity')),
  rel AS (SELECT chunk_id, pass, ts, pos, f[2] AS src, f[3] AS tgt, f[4] AS keywords, {_short("f[5]")} AS description,
    CASE WHEN regexp_matches(f[5], '{G.FLOAT}') THEN CAST(f[5] AS DOUBLE) ELSE 1.0::DOUBLE END AS weight FROM fl WHERE len(f) = 5 AND contains(f[1], 'relation'))"""
