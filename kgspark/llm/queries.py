@@ -6,27 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontamination, line_quality, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files
+from kgspark.llm import decontamination, line_quality, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files, twins
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
 
+#: Tokenizers, the language model and the fitted field are beyond SQL; tests/llm has those queries.
 ORACLES: dict[str, str] = {
-    "op10_block_pruned_search": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
-            FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), pairs AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-            FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
-        ), ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
-        )
-        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
-    """,
+    "op2_hilbert_sharding": twins.shards(SHARDS),
+    "op4_setsketch_duplicates": twins.DUPLICATES,
+    "op5_substring_removal": twins.SUBSTRINGS,
+    "op8_credential_linking": twins.SECRETS,
+    "op9_simhash_windows": twins.ITEMS,
+    "op10_block_pruned_search": twins.TOP_K,
 }
 
 
