@@ -216,7 +216,9 @@ class Graph:
 def build_graph(entities: DataFrame, relations: DataFrame, stored: Graph | None = None) -> Graph:
     """Merge entity and relation records, on top of the stored elements they touch if given.
 
-    Ends without an entity record become UNKNOWN nodes with the sources and texts of their edges.
+    The result holds the touched elements whole, with stored sources and texts among the new ones, so it
+    can replace what is stored of them. Ends without an entity record become UNKNOWN nodes with the
+    sources and texts of their edges.
     """
     relations = canonical(relations)
     nodes = merge_entities(entities, stored.nodes if stored else None)
@@ -234,9 +236,23 @@ def build_graph(entities: DataFrame, relations: DataFrame, stored: Graph | None
     lent_sources = lent(edge_sources).groupBy("name", "source_id").agg(F.min("file_path").alias("file_path"))
     node_sources = sources_of(entities, ["name"]).unionByName(lent_sources)
     node_texts = texts_of(entities, ["name"]).unionByName(lent_texts)
+    if stored is not None:
+        names, pairs = nodes.select("name"), edges.select("src", "tgt")
+        node_sources = _with_stored(node_sources, stored.node_sources, names, "source_id", "file_path")
+        node_texts = _with_stored(node_texts, stored.node_texts, names, "description", "seen")
+        edge_sources = _with_stored(edge_sources, stored.edge_sources, pairs, "source_id", "file_path")
+        edge_texts = _with_stored(edge_texts, stored.edge_texts, pairs, "description", "seen")
     return Graph(nodes, edges, node_sources, edge_sources, node_texts, edge_texts)
 
 
+def _with_stored(new: DataFrame, old: DataFrame, touched: DataFrame, value: str, first: str) -> DataFrame:
+    """Rows of ``new`` and those stored of the touched elements, each value once with its least ``first``."""
+    keys = touched.columns
+    kept = old.join(touched.distinct(), keys, "left_semi")
+    both = new.select(*keys, value, first).unionByName(kept.select(*keys, value, first))
+    return both.groupBy(*keys, value).agg(F.min(first).alias(first))
+
+
 def document_index(graph: Graph, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Which entities and relations every document speaks of: (doc_id, name), (doc_id, src, tgt)."""
     owner = chunks.select(F.col("chunk_id").alias("source_id"), "doc_id")

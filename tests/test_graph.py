@@ -178,3 +178,21 @@ def test_delete_and_impact(spark):
     removed = spark.createDataFrame([("c1",)], "chunk_id STRING")
     got = {r["name"]: (r["action"], r["remaining"]) for r in G.deletion_impact(sources, removed, ["name"]).collect()}
     assert got == {"a": ("rebuild", 1), "b": ("delete", 0), "d": ("keep", 1)}
+
+
+def test_merging_in_two_batches_keeps_stored_sources_and_texts(spark):
+    entity = "name STRING, entity_type STRING, description STRING, chunk_id STRING, file_path STRING, created_at LONG, pos INT"
+    relation = "src STRING, tgt STRING, weight DOUBLE, keywords STRING, description STRING, chunk_id STRING, file_path STRING, created_at LONG, pos INT"
+    e1 = [("A", "x", "a one", "c1", "f1", 1, 0), ("B", "x", "b one", "c1", "f1", 1, 1)]
+    e2 = [("A", "x", "a two", "c2", "f2", 2, 0), ("A", "x", "a one", "c2", "f2", 2, 1)]
+    r1 = [("A", "B", 1.0, "k", "ab one", "c1", "f1", 1, 2), ("A", "Z", 1.0, "k", "az one", "c1", "f1", 1, 3)]
+    r2 = [("B", "A", 2.0, "k", "ab two", "c2", "f2", 2, 2)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    whole = G.build_graph(make(e1 + e2, entity), make(r1 + r2, relation))
+    stored = G.build_graph(make(e1, entity), make(r1, relation))
+    later = G.build_graph(make(e2, entity), make(r2, relation), stored=stored)
+    for part, touched in (("node_sources", "name = 'A'"), ("node_texts", "name = 'A'"), ("edge_sources", "src = 'A' AND tgt = 'B'"), ("edge_texts", "src = 'A' AND tgt = 'B'")):
+        want, got = getattr(whole, part).filter(touched), getattr(later, part)
+        columns = sorted(want.columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())), part
+    assert [(r["src"], r["tgt"], r["weight"]) for r in later.edges.collect()] == [("A", "B", 3.0)]
