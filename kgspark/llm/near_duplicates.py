@@ -213,15 +213,17 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     classes = named.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes.select("print1", "print2", F.col("n_shingles").alias("n"), "rep", "sketch"))
     banded = classes.select("rep", "n", "sketch").mapInArrow(_band_rows, "bucket long, band int, rep long, n long")
+    # Sums per bucket or centre are written before they are joined: a join of two shuffled tables can be
+    # split where a key is hot, one with an aggregation on top of its shuffle cannot.
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = cut_lineage(banded.join(shared, "bucket"))
+    buckets = cut_lineage(banded.join(written(shared, "buckets"), "bucket"))
     company = buckets.groupBy("rep").agg(F.sum("members").alias("company"))
     centre = buckets.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"), "n")).alias("c"))
-    stars = buckets.join(centre, "bucket").select("rep", "n", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"))
+    stars = buckets.join(written(centre, "centres"), "bucket").select("rep", "n", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"))
     fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * per_cent
     stars = cut_lineage(stars.where((F.col("rep") != F.col("centre")) & fits).select("rep", "centre").distinct())
     loads = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = stars.join(loads, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = stars.join(written(loads, "loads"), "centre").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     # Grouped by a key of its own, so that the join on a centre with much company can be split.
     dealt = dealt.withColumn("tile", F.xxhash64("centre", "block"))
     tiles = dealt.groupBy("tile", "block").agg(F.min("centre").alias("centre"), F.collect_list("rep").alias("reps"))
@@ -237,7 +239,7 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     labelled = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = cut_lineage(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
-    open_rows = labelled.join(mixed.select("bucket"), "bucket").join(classes.select("rep", "sketch"), "rep")
+    open_rows = labelled.join(written(mixed.select("bucket"), "mixed"), "bucket").join(classes.select("rep", "sketch"), "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
