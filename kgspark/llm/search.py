@@ -25,7 +25,7 @@ RANGE = 2048  # documents in one row of the index
 GROUP = 256  # queries that travel together
 LIMIT = 1 << 26  # greatest component, so that sums of 1024 products stay below 2**63
 NONE = -(1 << 62)  # below every score, and its negative is a number, too
-HITS = "query_id long, vec_id long, score long"
+HITS = "query_no long, query_id long, vec_id long, score long"
 
 
 def usable(vector: str | Column) -> Column:
@@ -95,12 +95,12 @@ def _best_ranges(dims: int):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                group, ids, vectors, where, high, low = (batch.column(c)[i] for c in ("group", "query_ids", "vectors", "range", "high", "low"))
+                group, numbers, vectors, where, high, low = (batch.column(c)[i] for c in ("group", "query_nos", "vectors", "range", "high", "low"))
                 top = _bounds(_matrix(vectors.values, dims), _unpack(high.as_py(), dims), _unpack(low.as_py(), dims)).max(1)
                 n = len(top)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group.as_py()] * n, pa.int64()), ids.values, pa.array([where.as_py()] * n, pa.int64()), pa.array(top)],
-                    ["group", "query_id", "range", "bound"],
+                    [pa.array([group.as_py()] * n, pa.int64()), numbers.values, pa.array([where.as_py()] * n, pa.int64()), pa.array(top)],
+                    ["group", "query_no", "range", "bound"],
                 )
 
     return best
@@ -112,7 +112,7 @@ def _score(dims: int, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.column("query_ids")[i].values.to_numpy()
+                number, own = (batch.column(c)[i].values.to_numpy() for c in ("query_nos", "query_ids"))
                 queries = _matrix(batch.column("vectors")[i].values, dims)
                 floor = batch.column("floors")[i].values.to_numpy().copy()
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
@@ -138,13 +138,14 @@ def _score(dims: int, k: int):
                         held[who], held_ids[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
                         floor[who] = np.maximum(floor[who], held[who, k - 1])
                 q, at = np.nonzero((held > NONE) & (held >= floor[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(held_ids[q, at]), pa.array(held[q, at])], ["query_id", "vec_id", "score"])
+                out = [number[q], own[q], held_ids[q, at], held[q, at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["query_no", "query_id", "vec_id", "score"])
 
     return score
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    return top_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
+def _top(hits: DataFrame, key: str, k: int) -> DataFrame:
+    return top_per_key(hits, [key], [F.col("score").desc(), F.col("vec_id")], k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64) -> DataFrame:
@@ -153,7 +154,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64) -> Data
     ``vectors`` has ``vec_id, embedding``; other columns are ignored. Vectors that are NULL or hold a NULL
     or non-finite component take no part, as query or candidate, and neither do rows without an id.
     Vectors of different lengths meet in the components both have. Rows that share an id are one
-    another's self, so they never meet. Fewer than ``k`` others are all returned; an empty table or query
+    another's self, so they never meet; apart from that every row counts: a candidate in two rows stands
+    twice among the hits, and so does every hit of a query in two rows. Fewer than ``k`` others are all returned; an empty table or query
     set gives no rows.
     """
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
@@ -161,25 +163,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64) -> Data
     good = cut_lineage(good)
     dims = good.agg(F.max(F.size("q"))).first()[0] or 1
     index = cut_lineage(build_index(good.select("vec_id", "q"), dims))
-    asked = number_rows(good.where("_query").select("vec_id", "q").dropDuplicates(["vec_id"]), ["vec_id"])
-    asked = cut_lineage(asked.select(F.expr(f"row_no div {GROUP}").alias("group"), F.col("vec_id").alias("query_id"), "q"))
+    asked = number_rows(good.where("_query").select("vec_id", "q"), ["vec_id"], "query_no")
+    asked = cut_lineage(asked.select(F.expr(f"query_no div {GROUP}").alias("group"), "query_no", F.col("vec_id").alias("query_id"), "q"))
 
     def grouped(rows: DataFrame, keys: list[str], floor: Column) -> DataFrame:
         """Queries packed by ``keys``; a pack has GROUP queries at most."""
-        packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("query_id", "q", floor.alias("floor")))).alias("_p"))
-        fields = {"query_ids": "query_id", "vectors": "q", "floors": "floor"}
+        packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("query_no", "query_id", "q", floor.alias("floor")))).alias("_p"))
+        fields = {"query_nos": "query_no", "query_ids": "query_id", "vectors": "q", "floors": "floor"}
         return packed.select(*keys, *[F.col(f"_p.{f}").alias(name) for name, f in fields.items()])
 
     lowest = F.lit(NONE).cast("long")
     packs = grouped(asked, ["group"], lowest)
     # The stated query set meets every range, in blocks: groups of queries times rows of the index.
-    bounds = packs.crossJoin(index.select("range", "high", "low")).mapInArrow(_best_ranges(dims), "group long, query_id long, range long, bound long")
-    first = bounds.groupBy("group", "query_id").agg(F.max_by("range", F.struct("bound", -F.col("range"))).alias("range"))
-    seeds = grouped(asked.join(first.drop("group"), "query_id"), ["group", "range"], lowest)
+    bounds = packs.crossJoin(index.select("range", "high", "low")).mapInArrow(_best_ranges(dims), "group long, query_no long, range long, bound long")
+    first = bounds.groupBy("group", "query_no").agg(F.max_by("range", F.struct("bound", -F.col("range"))).alias("range"))
+    seeds = grouped(asked.join(first.drop("group"), "query_no"), ["group", "range"], lowest)
     seeded = seeds.join(index, "range").mapInArrow(_score(dims, k), HITS)
     kth = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(lowest)
-    floors = _top(seeded, k).groupBy("query_id").agg(kth.alias("_floor"))
-    asked = asked.join(floors, "query_id", "left").withColumn("_floor", F.coalesce("_floor", lowest))
+    floors = _top(seeded, "query_no", k).groupBy("query_no").agg(kth.alias("_floor"))
+    asked = asked.join(floors, "query_no", "left").withColumn("_floor", F.coalesce("_floor", lowest))
     packs = grouped(asked, ["group"], F.col("_floor"))
     hits = packs.crossJoin(index).mapInArrow(_score(dims, k), HITS)
-    return _top(hits.dropDuplicates(["query_id", "vec_id"]), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(hits.drop("query_no"), "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -36,3 +36,22 @@ def test_no_vectors_no_hits(spark, shared):
     assert search.top_k(df, F.col("vec_id") % 5 == 0, 3).count() == 0
     one = spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<float>")
     assert search.top_k(one, F.col("vec_id") % 5 == 0, 3).count() == 0
+
+
+def test_every_row_counts(spark, shared, monkeypatch):
+    for name, value in (("BLOCK", 4), ("RANGE", 16), ("GROUP", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randint(-9, 9)) for _ in range(5)]) for i in range(1, 60)]
+    rows += [(101, [9.0, 9.0, 9.0, 9.0, 9.0])] * 30  # the best of many queries, more often than k
+    rows += [rows[6], rows[6], rows[9], rows[9], (10, [1.0] * 5)]  # repeated candidates and queries
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (3, 20):
+        want = []
+        for q in {i for i, _ in good if i % 5 == 0}:
+            own = [v for i, v in good if i == q]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), d) for v in own for d, w in good if d != q)
+            want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(scores[:k])]
+        got = search.top_k(df, F.col("vec_id") % 5 == 0, k).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
