@@ -59,11 +59,6 @@ def blocks(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return df.withColumn("_b", F.explode(cut)).select("*", "_b.block", "_b.value").drop("_b")
 
 
-def _allowed_loss(threshold: float) -> float:
-    """Share of an item's runs that a window of its length may lack at the threshold."""
-    return 1 - 2 * threshold / (1 + threshold)
-
-
 def item_runs(items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """Runs of items with SIZE words at least: item_id, words (count), at, run, probe (longest word)."""
     cut = items.select(F.col(item_id).alias("item_id"), words_of("text").alias("w")).where(F.size("w") >= SIZE)
@@ -73,9 +68,13 @@ def item_runs(items: DataFrame, item_id: str = "item_id") -> DataFrame:
 
 
 def probe_words(runs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct words of which every text with an item at the threshold has one."""
+    """Distinct words of which every text with an item at the threshold has one.
+
+    A text may lack ``1 - threshold`` of an item's runs: a window as long as the item fewer, but a text
+    shorter than the item has no runs of its own instead of the missing ones.
+    """
     first = F.row_number().over(W.partitionBy("item_id").orderBy(F.length("probe").desc(), "at"))
-    need = F.floor((F.col("words") - (SIZE - 1)) * _allowed_loss(threshold) + 1e-9) + 1
+    need = F.floor((F.col("words") - (SIZE - 1)) * (1 - threshold) + 1e-9) + 1
     return runs.withColumn("_no", first).where(F.col("_no") <= need).select(F.col("probe").alias("word")).distinct()
 
 

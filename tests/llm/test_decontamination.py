@@ -88,3 +88,18 @@ def test_hard_cases(spark, edge, none, shared):
     left = dc.without_items(edge, items)
     assert left.columns == edge.columns and left.count() == edge.count() - 2
     assert dc.find_items(none, items).count() == 0 and dc.find_items(edge, items.limit(0)).count() == 0
+
+
+def test_items_cut_short_are_found(spark, shared):
+    rng = random.Random(3)
+    items, docs = [], []
+    for i, n in enumerate([24, 24, 40, 60, 100]):
+        w = [f"w{i}x{j}" for j in range(n)]
+        far = rng.sample(range(n - n // 8), 4) if i % 2 else [n - 3]  # long words, of which the probes are
+        for j in far:
+            w[j] += "longest"
+        items.append((i, " ".join(w)))
+        for off in (n // 10, n // 8, n // 6, n // 5):
+            docs += [(len(docs), " ".join(w[:n - off])), (len(docs) + 1, " ".join(w[off:]))]
+    want = by_hand(docs, items, 0.8)
+    assert found(spark, docs, items) == want and len(want) > 20
