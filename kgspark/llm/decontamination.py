@@ -1,8 +1,10 @@
 """Documents that hold benchmark items, found by SimHash over windows as long as an item.
 
-A window of a document has as many words as an item and stands so that one of their shared runs of five
-words has the same place in both. Windows in between hold parts of the same shared runs and are not
-looked at. Windows and items get 64-bit SimHash fingerprints, weighted by how often each run occurs. The
+A window of a document has as many words as an item. Those where a shared run of five words has the same
+place in both are looked at, and for each item the first of the best windows wherever it stands: such a
+window ends with a shared run, or a window one word earlier would be as good, so all windows are covered
+by those that end with one. Texts whose shared runs nowhere lie close enough for the threshold are left
+out first. Windows and items get 64-bit SimHash fingerprints, weighted by how often each run occurs. The
 fingerprint is cut into RADIUS + 1 blocks, of which two fingerprints within RADIUS bits must share one,
 so an equality join on blocks misses none of them. Survivors are verified by the exact weighted
 similarity of their runs: sum of lesser counts over sum of greater counts.
@@ -87,10 +89,52 @@ def _suspects(docs: DataFrame, probes: DataFrame) -> DataFrame:
     return docs.join(hits, "key", "left_semi")
 
 
+def _least_common(threshold: float) -> Column:
+    """Runs that a window (``here`` of them at most) must share with an item of ``words`` words to reach the threshold."""
+    either = F.col("here") + F.col("words") - (SIZE - 1)
+    return F.greatest(F.lit(1), F.ceil(either * threshold / (1 + threshold) - 1e-9)).cast("int")
+
+
+def _dense_hits(hits: DataFrame, threshold: float) -> DataFrame:
+    """Hits (key, length, words, p, run) of texts where a window holds enough of them; adds ``here`` and ``least``."""
+    hits = hits.withColumn("here", F.least(F.col("words"), F.col("length")) - (SIZE - 1))
+    hits = hits.withColumn("least", _least_common(threshold))
+    packed = hits.groupBy("key", "length", "words", "here", "least").agg(F.sort_array(F.collect_list(F.struct("p", "run"))).alias("_h"))
+    near = F.transform("_h", lambda x, j: F.get("_h", j - (F.col("least") - 1))["p"] > x["p"] - (F.col("words") - (SIZE - 1)))
+    packed = packed.where(F.exists(near, lambda x: F.coalesce(x, F.lit(False))))
+    return packed.withColumn("_x", F.explode("_h")).select("key", "length", "words", "here", "least", "_x.p", "_x.run")
+
+
+def _best_windows(hits: DataFrame, there: DataFrame) -> DataFrame:
+    """Of each text and item the first of the windows that share most, if that may reach the threshold: key, words, start.
+
+    A run that an item has m times counts in a window unless m copies of it stand before it there, so every
+    hit carries the place of its m-th predecessor (``old``).
+    """
+    of_item = ["key", "item_id", "words", "least"]
+    met = hits.join(there.select("item_id", "words", "run", "m"), ["words", "run"])
+    met = met.groupBy(*of_item, "run", "m").agg(F.sort_array(F.collect_list("p")).alias("_p"))
+    olds = F.transform("_p", lambda p, j: F.struct(p.alias("p"), F.coalesce(F.get("_p", (j - F.col("m")).cast("int")), F.lit(-1)).alias("old")))
+    met = met.select(*of_item, F.explode(olds).alias("x")).groupBy(*of_item).agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    size = F.col("words") - (SIZE - 1)
+
+    def window(x: Column, j: Column) -> Column:
+        """The window that ends with hit ``x``, or the text's first: what it shares, and where it starts."""
+        start = F.greatest(F.lit(0), x["p"] - size + 1)
+        inside = F.slice("_x", F.greatest(F.lit(1), j - size + 2), F.least(size, j + 1))
+        both = F.size(F.filter(inside, lambda y: (y["p"] >= start) & (y["old"] < start)))
+        enough = F.get("_x", j - (F.col("least") - 1))["p"] > x["p"] - size
+        return F.when(enough, F.struct(both.alias("both"), (-start).alias("s")))
+
+    met = met.select(*of_item, F.array_max(F.transform("_x", window)).alias("b")).where(F.col("b.both") >= F.col("least"))
+    return met.select("key", "words", (-F.col("b.s")).alias("start"))
+
+
 def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Items found in documents: doc_id, item_id, start_word, similarity, one row per document and item.
 
-    Of several such windows the most similar, then the first, is reported. Case and punctuation do not count.
+    Of several such windows the most similar is reported; of equals one where a shared run has the same place
+    in both, then the first. Case and punctuation do not count.
     NULL and empty texts and items hold nothing; items of fewer than SIZE words take no part, since words
     so few occur by chance; a text shorter than an item is one window. Repeated rows of a document give
     one row, rows without an id are reported with NULL. Equal items are reported each. Empty tables give
@@ -103,28 +147,31 @@ def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ra
     found = cut_lineage(found)
     texts = found.groupBy("key").agg(F.first("length").alias("length"), F.first("runs").alias("runs"))  # copies once
     texts = cut_lineage(texts)
-    hits = texts.select("key", "length", F.posexplode("runs").alias("p", "run")).join(runs.select("run", "words", "at").distinct(), "run")
+    there = runs.groupBy("item_id", "words", "run").agg(F.count(F.lit(1)).alias("m"))
+    hits = texts.select("key", "length", F.posexplode("runs").alias("p", "run")).join(runs.select("run", "words").distinct(), "run")
+    hits = cut_lineage(_dense_hits(hits, threshold))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("length") - F.col("words")))
-    windows = hits.select("key", "words", start.alias("start")).distinct()
+    aligned = hits.join(runs.select("run", "words", "at").distinct(), ["run", "words"]).select("key", "words", start.alias("start"))
+    windows = aligned.withColumn("aligned", F.lit(1)).union(_best_windows(hits, there).withColumn("aligned", F.lit(0)))
+    windows = windows.groupBy("key", "words", "start").agg(F.max("aligned").alias("aligned"))
     held = windows.join(texts.select("key", "runs"), "key").select(
-        "key", "words", "start", F.explode(F.slice("runs", F.col("start") + 1, F.col("words") - (SIZE - 1))).alias("run")
+        "key", "words", "start", "aligned", F.explode(F.slice("runs", F.col("start") + 1, F.col("words") - (SIZE - 1))).alias("run")
     )
     held = cut_lineage(held)
-    of_window, of_item = ["key", "words", "start"], ["item_id", "words"]
+    of_window, of_item = ["key", "words", "start", "aligned"], ["item_id", "words"]
     left = blocks(fingerprints(held, of_window), radius)
     right = blocks(fingerprints(runs, of_item), radius).withColumnRenamed("fingerprint", "item_print")
     near = left.join(right, ["words", "block", "value"])
     near = near.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius)
     near = near.select(*of_window, "item_id").distinct()
     counted = held.groupBy(*of_window, "run").agg(F.count(F.lit(1)).alias("n"))
-    there = runs.groupBy("item_id", "run").agg(F.count(F.lit(1)).alias("m"))
-    common = near.join(counted, of_window).join(there, ["item_id", "run"], "left")
+    common = near.join(counted, of_window).join(there.drop("words"), ["item_id", "run"], "left")
     common = common.groupBy(*of_window, "item_id").agg(
         F.sum("n").alias("here"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("both")
     )
     either = F.col("here") + F.col("words") - (SIZE - 1) - F.col("both")
     alike = common.withColumn("similarity", F.col("both") / either).where(F.col("similarity") >= threshold)
-    best = alike.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
+    best = alike.groupBy("key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("b"))
     named = found.select("doc_id", "key").distinct().join(best, "key")
     out = named.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return out.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.similarity").alias("similarity"))
