@@ -1,7 +1,8 @@
 """Document probabilities of a subword lattice.
 
 A vocabulary of subword pieces is given; its unigram weights are learnt from the distinct words of the
-training documents, in runs of RUN_BYTES of text. The
+training documents, each cut into pieces once: words are made distinct in runs of RUN_BYTES of text, then
+by their hashes in buckets over the whole corpus. The
 probability of a word is the sum over all ways to cut it into pieces of the product of their weights, by
 a forward recursion in log space; that of a text is the product over its words and the end of the text.
 A word is its bytes after a word mark. Every byte is a piece too, so every text has a probability. Words
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,43 +137,63 @@ def whole_or_cut(counts: np.ndarray, cut: np.ndarray, base: float) -> np.ndarray
 
 
 _lattices: dict[str, Lattice] = {}
+_models: dict = {}
+COUNTED = "bucket long, keys binary, counts binary, words binary"
 
 
-def _train_counts(path: str, buckets: int, salts: int):
-    """Task function: word counts of training texts by bucket, and uses of pieces (buckets below 0)."""
+def _train_counts(buckets: int):
+    """Task function: distinct words of training texts by bucket, with their hashes and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_pieces(path)
-        pieces = np.zeros(model.get_piece_size(), np.int64)
-
-        def rows(found, keys, counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "keys", "counts"]
-            )
-
         for batch in batches:
             for low, high in arrays.row_runs(batch.column(0), RUN_BYTES):
                 words = arrays.split_words(*arrays.text_bytes(batch.column(0).slice(low, high - low)), lower=True)
                 keys, where, counts = np.unique(words.hash, return_index=True, return_counts=True)
                 raw = words.data.tobytes()
-                some = [raw[s:e].decode() for s, e in zip(words.start[where].tolist(), words.end[where].tolist())]
-                for a in range(0, len(some), 10_000):
-                    cut = model.encode(some[a:a + 10_000])
-                    flat = np.array([i for ids in cut for i in ids], np.int64)
-                    pieces += np.bincount(flat, minlength=len(pieces))  # once per distinct word: pieces stand for new ones
+                some = [raw[s:e] for s, e in zip(words.start[where].tolist(), words.end[where].tolist())]
                 at = int(np.searchsorted(keys, END_KEY))
                 keys, counts = np.insert(keys, at, END_KEY), np.insert(counts, at, high - low)
+                some.insert(at, b"")  # the end has no spelling
                 found, bounds = bucket_slices(keys, buckets)
                 spans = list(zip(bounds, bounds[1:]))
-                yield rows(found, [dump(keys[a:b], ascending=True) for a, b in spans], [dump(counts[a:b]) for a, b in spans])
-        used = np.flatnonzero(pieces)
-        if len(used):
-            salt = TaskContext.get().partitionId() % salts
-            yield rows([-1 - salt], [dump(used, ascending=True)], [dump(pieces[used])])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found, pa.int64()), pa.array([dump(keys[a:b], ascending=True) for a, b in spans], pa.binary()),
+                        pa.array([dump(counts[a:b]) for a, b in spans], pa.binary()), pa.array([b" ".join(some[a:b]) for a, b in spans], pa.binary()),
+                    ],
+                    ["bucket", "keys", "counts", "words"],
+                )
 
     return count
 
 
+def _learn(path: str, salts: int):
+    """Group function: one bucket's words with their counts summed, and uses of pieces in them (a bucket below 0)."""
+
+    def learn(key: tuple, table: pa.Table) -> pa.Table:
+        if path not in _models:
+            _models[path] = load_pieces(path)
+        model, bucket = _models[path], key[0].as_py()
+        pieces = np.zeros(model.get_piece_size(), np.int64)
+        keys = np.concatenate([load(x.as_py(), ascending=True) for x in table.column("keys")])
+        _, first = np.unique(keys, return_index=True)  # once per distinct word: pieces stand for new ones
+        words = [w for x in table.column("words") for w in x.as_py().split(b" ")]
+        some = [words[i].decode() for i in first.tolist() if words[i]]
+        for a in range(0, len(some), 10_000):
+            flat = np.array([i for ids in model.encode(some[a:a + 10_000]) for i in ids], np.int64)
+            pieces += np.bincount(flat, minlength=len(pieces))
+        used = np.flatnonzero(pieces)
+        if not len(used):
+            return _add_up(key, table)
+        in_words = {"keys": dump(used, ascending=True), "counts": dump(pieces[used])}
+        uses = pa.table({"bucket": pa.array([-1 - bucket % salts], pa.int64())} | {n: pa.array([x], pa.binary()) for n, x in in_words.items()} | {
+            "tokens": pa.array([0], pa.int64()), "distinct": pa.array([0], pa.int64()),
+        })
+        return pa.concat_tables([_add_up(key, table), uses])
+
+    return learn
+
+
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     """Sums the counts of equal keys of one bucket."""
     keys = np.concatenate([load(x.as_py(), ascending=True) for x in table.column("keys")])
@@ -228,11 +248,11 @@ def score_documents(df: DataFrame, path: str, train, part_bytes: int = PART_BYTE
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     parts = part_count(docs, part_bytes)
     salts = math.isqrt(parts) + 1
-    counted = docs.where("train").select("text").mapInArrow(_train_counts(path, parts, salts), "bucket long, keys binary, counts binary")
-    table = cut_lineage(counted.groupBy("bucket").applyInArrow(_add_up, SUMMED))
+    counted = docs.where("train").select("text").mapInArrow(_train_counts(parts), COUNTED)
+    table = cut_lineage(counted.groupBy("bucket").applyInArrow(_learn(path, salts), SUMMED))
     # At most ``salts`` vectors of one number per piece of the vocabulary meet here.
-    used = table.where("bucket < 0").select(F.lit(-1).cast("long").alias("bucket"), "keys", "counts")
-    used = used.groupBy("bucket").applyInArrow(_add_up, SUMMED).collect()
+    used = table.where("bucket < 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_add_up, SUMMED)
+    used = used.select(F.lit(-1).cast("long").alias("bucket"), "keys", "counts").groupBy("bucket").applyInArrow(_add_up, SUMMED).collect()
     words = table.where("bucket >= 0")
     total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = docs.where("train").count()

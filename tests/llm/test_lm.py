@@ -63,3 +63,13 @@ def test_base_scores_and_counts(spark, edge, none, shared):
 def test_without_training_texts_scores_stay_finite(spark, edge, shared):
     rows = lm.score_documents(edge, PATH, F.lit(False)).collect()
     assert len(rows) == edge.count() and all(math.isfinite(r["score"]) and r["n_known"] == 0 and r["held_out"] for r in rows)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, shared, monkeypatch):
+    rows = [(i, f"the frequent international words {i} of unseenword{i % 9} and tokenisation{i % 5}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 2
+    one = {r["doc_id"]: r["score"] for r in lm.score_documents(df.coalesce(1), PATH, ~held).collect()}
+    monkeypatch.setattr(lm, "RUN_BYTES", 200)  # many runs, each with the frequent words
+    many = {r["doc_id"]: r["score"] for r in lm.score_documents(df.repartition(7), PATH, ~held).collect()}
+    assert many == pytest.approx(one, rel=1e-12) and len(one) == 80
