@@ -72,8 +72,8 @@ class Lines:
             same[2:] = np.cumsum(again)
         inner = np.minimum(bounds[:-1] + 1, bounds[1:])  # a line's first word has no word before it
         repeated = same[bounds[1:]] - same[inner]
-        keys = arrays.mix(arrays.byte_hashes(data, start, end) ^ arrays.mix(doc.astype(np.uint64) + np.uint64(1)))
-        _, which, copies = np.unique(keys, return_inverse=True, return_counts=True)
+        line, _ = arrays.distinct(data, start, end)
+        _, which, copies = np.unique(line * len(column) + doc, return_inverse=True, return_counts=True)
         letters = counts[_UPPER] + counts[_LETTER]
         size = np.maximum(self.length, 1)
         self.shape = np.stack([

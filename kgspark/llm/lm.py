@@ -68,7 +68,8 @@ class Lattice:
             pieces = by_size[size]
             data = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
             start = np.arange(len(pieces)) * size
-            keys, order = np.unique(arrays.byte_hashes(data, start, start + size), return_index=True)
+            sums = arrays.prefix_hashes(data.astype(np.uint64) + np.uint64(1), arrays.BYTE_BASE)
+            keys, order = np.unique(arrays.range_hashes(sums, start, start + size, arrays.BYTE_BASE), return_index=True)
             seen = np.zeros(1 << 16, bool)  # most substrings are no pieces; this tells at once
             seen[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
             self.sizes.append((size, keys, np.array([w for _, w in pieces])[order], seen))

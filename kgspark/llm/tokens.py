@@ -13,12 +13,13 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from kgspark.llm.arrays import IS_SPACE, byte_hashes, row_runs, split_words, text_bytes
-
+from kgspark.llm.arrays import IS_SPACE, distinct, row_runs, split_words, text_bytes
 
 RUN_BYTES = 2 << 20
 JOINED = 2_000  # units per text that goes to the library
-KNOWN_SLOTS = 1 << 21  # per worker: 60 MB, for a million units
+KNOWN_BYTES = 64 << 20  # per worker; what is kept only saves encoding it again
+KNOWN_UNIT = 64  # bytes of the longest unit kept
+KNOWN_COST = 120  # bytes that an entry takes beside its unit
 #: White space beyond ASCII's, as UTF-8, and the ASCII separators that some patterns count as white space.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
@@ -27,51 +28,41 @@ _ODD_LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Known:
-    """Ids of units met before, by hash: open addressing in flat arrays, filled until it is half full."""
+    """Ids of units met before, by their bytes. Starts anew when it holds KNOWN_BYTES; longer units stay outside."""
+
+    def __init__(self):
+        self.clear()
 
-    def __init__(self, slots: int):
-        self.mask = slots - 1
-        self.keys = np.zeros(slots, np.uint64)
-        self.place = np.zeros(slots, np.int64)  # where the ids begin in the pool
-        self.size = np.zeros(slots, np.int32)
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.place = np.zeros(1 << 12, np.int64)  # where the ids begin in the pool
+        self.size = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = self.units = 0
-
-    def _slots(self, keys: np.ndarray, empty: bool) -> np.ndarray:
-        """Slot of each key; -1 if absent, or the free slot where it would go."""
-        slot = (keys & np.uint64(self.mask)).astype(np.int64)
-        out, todo = np.full(len(keys), -1), np.arange(len(keys))
-        while len(todo):
-            there = self.keys[slot[todo]]
-            done = (there == keys[todo]) | (there == 0)
-            hit = todo[done & ((there != 0) | empty)]
-            out[hit] = slot[hit]
-            todo = todo[~done]
-            slot[todo] = (slot[todo] + 1) & self.mask
-        return out
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        return self._slots(keys, empty=False)
-
-    def add(self, keys: np.ndarray, pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        room = max(0, len(self.keys) // 2 - self.units)
-        keys, begin, size = keys[:room], begin[:room], size[:room]
-        if not len(keys):
-            return
-        stop = int((begin + size).max())
-        while self.used + stop > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used:self.used + stop] = pool[:stop]
-        todo = np.arange(len(keys))
-        while len(todo):
-            slot = self._slots(keys[todo], empty=True)
-            self.keys[slot] = keys[todo]  # of several keys for one slot, the last stays
-            won = self.keys[slot] == keys[todo]
-            self.place[slot[won]] = self.used + begin[todo[won]]
-            self.size[slot[won]] = size[todo[won]]
-            todo = todo[~won]
-        self.used += stop
-        self.units += len(keys)
+        self.used = self.held = 0
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        while len(array) < size:
+            array = np.concatenate([array, np.zeros_like(array)])
+        return array
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        """Number of each unit, -1 where it is new."""
+        get = self.number.get
+        return np.array([get(u, -1) for u in units], np.int64)
+
+    def add(self, units: list[bytes], pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        if self.held > KNOWN_BYTES:
+            self.clear()
+        some = [i for i, u in enumerate(units) if len(u) <= KNOWN_UNIT]
+        n, first = len(some), len(self.number)
+        self.number.update(zip([units[i] for i in some], range(first, first + n)))
+        self.place, self.size = self._room(self.place, first + n), self._room(self.size, first + n)
+        self.pool = self._room(self.pool, self.used + len(pool))
+        self.pool[self.used:self.used + len(pool)] = pool
+        self.place[first:first + n], self.size[first:first + n] = self.used + begin[some], size[some]
+        self.used += len(pool)
+        self.held += 4 * len(pool) + sum(len(units[i]) + KNOWN_COST for i in some)
 
 
 class Encoder:
@@ -86,7 +77,7 @@ class Encoder:
         self.spaces = spaces
         self.separator = b"\n" if spaces else b" \x01 "
         (self.separator_id,) = self.tokenizer.encode(self.separator.decode(), add_special_tokens=False).ids
-        self.known = Known(KNOWN_SLOTS)
+        self.known = Known()
 
     def _units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte ranges of the units in order, and the first unit of each text."""
@@ -128,29 +119,30 @@ class Encoder:
         upto = np.append(0, np.cumsum(marks))
         return (upto[end] - upto[start] > 0) | IS_SPACE[data[end - 1]]
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _learn(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
         """Ids of new units, how many each has, and where they begin.
 
         Units go to the library in long texts, with a separator between them that is a token of its own
         and not part of any unit; units for which that does not hold are encoded ``alone``.
         """
-        ids, sizes = [], np.zeros(len(start), np.int64)
-        spans = list(zip(start.tolist(), end.tolist()))
+        sizes, length = np.zeros(len(units), np.int64), np.array([len(u) for u in units], np.int64)
+        ids, end = [], np.cumsum(length)
+        alone = self._alone(np.frombuffer(b"".join(units), np.uint8), end - length, end)
         together = np.flatnonzero(~alone)
         for low in range(0, len(together), JOINED):
             some = together[low:low + JOINED]
-            text = self.separator.join([raw[slice(*spans[i])] for i in some.tolist()])
+            text = self.separator.join([units[i] for i in some.tolist()])
             found = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(found == self.separator_id)
             sizes[some] = np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1
             ids.append(np.delete(found, cut))
         rest = np.flatnonzero(alone)
         for i in rest.tolist():
-            ids.append(np.array(self.tokenizer.encode(raw[slice(*spans[i])].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
+            ids.append(np.array(self.tokenizer.encode(units[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
             sizes[i] = len(ids[-1])
         order = np.concatenate([together, rest])
         pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.zeros(len(start), np.int64)
+        begin = np.zeros(len(units), np.int64)
         begin[order] = np.cumsum(sizes[order]) - sizes[order]
         return pool, sizes, begin
 
@@ -159,23 +151,20 @@ class Encoder:
         flat, offsets = text_bytes(column)
         start, end, first = self._units(flat, offsets)
         data = flat[offsets[0]:offsets[-1]]
-        keys, where, which = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = np.maximum(keys, np.uint64(1))  # 0 marks a free slot
-        slot = self.known.find(keys)
-        old = slot >= 0
-        new_start, new_end = start[where[~old]], end[where[~old]]
-        alone = self._alone(data, new_start, new_end)
-        fresh, fresh_size, fresh_begin = self._learn(data.tobytes(), new_start, new_end, alone)
-        size = np.zeros(len(keys), np.int64)
-        size[old], size[~old] = self.known.size[slot[old]], fresh_size
-        begin = np.zeros(len(keys), np.int64)
-        begin[old], begin[~old] = self.known.place[slot[old]], self.known.used + fresh_begin
+        which, units = distinct(data, start, end)
+        number = self.known.find(units)
+        old = number >= 0
+        new = [units[i] for i in np.flatnonzero(~old).tolist()]
+        fresh, fresh_size, fresh_begin = self._learn(new)
+        size, begin = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        size[old], size[~old] = self.known.size[number[old]], fresh_size
+        begin[old], begin[~old] = self.known.place[number[old]], self.known.used + fresh_begin
         pool = np.concatenate([self.known.pool[:self.known.used], fresh])
         each = size[which]
         upto = np.cumsum(each)
         total = int(upto[-1]) if len(upto) else 0
         gathered = pool[np.repeat(begin[which] - (upto - each), each) + np.arange(total)]
-        self.known.add(keys[~old], fresh, fresh_begin, fresh_size)
+        self.known.add(new, fresh, fresh_begin, fresh_size)
         return gathered, np.append(0, upto)[first]
 
 

@@ -37,3 +37,10 @@ def shared(spark, tmp_path_factory):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return str(tmp_path_factory.mktemp("work"))
+
+
+@pytest.fixture
+def thue_morse():
+    """Two strings of 1024 letters that collide under any polynomial modulo 2**64 with an odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -73,3 +73,9 @@ def test_scores_do_not_depend_on_the_layout(spark, shared, monkeypatch):
     monkeypatch.setattr(lm, "RUN_BYTES", 200)  # many runs, each with the frequent words
     many = {r["doc_id"]: r["score"] for r in lm.score_documents(df.repartition(7), PATH, ~held).collect()}
     assert many == pytest.approx(one, rel=1e-12) and len(one) == 80
+
+
+def test_words_are_known_by_their_bytes(spark, shared, thue_morse):
+    df = spark.createDataFrame(list(enumerate(thue_morse)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_known"] for r in lm.score_documents(df, PATH, F.col("doc_id") == 0).collect()}
+    assert rows == {0: 2, 1: 1}  # the other word is new, its end is not

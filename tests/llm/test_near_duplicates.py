@@ -106,3 +106,8 @@ def test_registers_estimate_similarity_and_merge():
             equal.append((both[0] == both[1]).mean() - exact)
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
         assert abs(np.mean(equal)) < 0.02
+
+
+def test_other_words_do_not_link(spark, shared, thue_morse):
+    df = spark.createDataFrame(list(enumerate(thue_morse)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df).collect()} == {0: 0, 1: 1}

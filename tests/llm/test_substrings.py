@@ -32,3 +32,13 @@ def test_removed_words_are_those_under_repeated_windows(spark, edge, none, share
             assert sum(s["end"] - s["start"] for s in r["removed"]) == r["n_removed"]
             assert all(a["end"] < b["start"] for a, b in zip(r["removed"], r["removed"][1:]))  # maximal intervals
     assert remove_repeats(none, 5).count() == 0
+
+
+def test_windows_of_other_words_are_no_repeats(spark, shared, thue_morse):
+    common = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([*common, last])) for i, last in enumerate(thue_morse)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 35).collect()
+    assert [r["n_removed"] for r in found] == [0, 0]
+    rows = [(i, " ".join(text)) for i, text in enumerate(thue_morse)]  # as sequences of one-letter words
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 1024).collect()
+    assert [r["n_removed"] for r in found] == [0, 0]

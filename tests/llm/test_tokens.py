@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kgspark.llm import arrays, packing, token_files
+from kgspark.llm import arrays, packing, token_files, tokens
 from kgspark.llm.tokens import Encoder, Known
 
 LETTERS = "ab AB\n\t é ß漢'sS1.,   \x1c\r\x0b🙂ı́  "
@@ -45,11 +45,23 @@ def test_units_give_the_ids_of_whole_texts(name, spaces):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == want
 
 
-def test_known_units_stop_at_half_full():
-    known = Known(8)
-    keys = np.array([3, 11, 19, 27, 35, 43], np.uint64)  # all for one slot
-    known.add(keys, np.arange(6, dtype=np.uint32), np.arange(6), np.ones(6, np.int64))
-    assert (known.find(keys) >= 0).tolist() == [True] * 4 + [False] * 2
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_units_are_told_apart_by_their_bytes(thue_morse, name, spaces):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    ids, first = Encoder(public_tokenizers.path(name), spaces).encode(pa.array(thue_morse))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in thue_morse]
+
+
+def test_known_units_start_anew_when_full(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 300)
+    known = Known()
+    for turn in range(3):
+        units = [b"%d" % turn, b"x%d" % turn, b"long" * 20]
+        known.add(units, np.arange(6, dtype=np.uint32), np.array([0, 2, 4]), np.array([2, 2, 2]))
+        found = known.find([*units, b"none"])
+        assert (found >= 0).tolist() == [True, True, False, False]  # long units are not kept
+        assert [known.pool[known.place[i]:known.place[i] + known.size[i]].tolist() for i in found[:2]] == [[0, 1], [2, 3]]
+    assert len(known.number) == 2
 
 
 def by_hand(df, name, end):
