@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontamination, line_quality, lm, near_duplicates, packing, search, secret_scan, sharding, substrings, token_files, twins
+from kgspark.llm import (
+    decontamination, digests, divergence, importance, line_quality, lm, near_duplicates, packing, search, secret_scan, sharding, substrings,
+    token_files, twins,
+)
 from kgspark.llm.common import crc_of_id, read, work_folder
 
 SHARDS = 24
@@ -19,6 +22,9 @@ ORACLES: dict[str, str] = {
     "op8_credential_linking": twins.SECRETS,
     "op9_simhash_windows": twins.ITEMS,
     "op10_block_pruned_search": twins.TOP_K,
+    "op11_importance_resampling": twins.RESAMPLED,
+    "op12_quartile_digests": twins.DIGESTS,
+    "op13_source_divergence": twins.AUDIT,
 }
 
 
@@ -95,6 +101,21 @@ def op10_block_pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five per cent of all documents, drawn by how well their word runs fit the benchmark's texts."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents, and how like they are an edited copy's and the next document's."""
+    return digests.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of every language differ from one another, and by which terms from the language."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_field_quality": op1_line_field_quality,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -106,4 +127,7 @@ QUERIES = {
     "op8_credential_linking": op8_credential_linking,
     "op9_simhash_windows": op9_simhash_windows,
     "op10_block_pruned_search": op10_block_pruned_search,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_quartile_digests": op12_quartile_digests,
+    "op13_source_divergence": op13_source_divergence,
 }

@@ -128,3 +128,97 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(no
 
 ITEMS = _items()
 SECRETS = _secrets()
+
+
+def _digests() -> str:
+    from kgspark.llm import digests as d
+
+    quarter = d.BUCKETS // 4
+    codes = "list_transform(c, lambda x: (x > q1)::INT + (x > q2)::INT + (x > q3)::INT)"
+    packed = f"list_transform(range({quarter}), lambda i: k[4 * i + 1] + 4 * k[4 * i + 2] + 16 * k[4 * i + 3] + 64 * k[4 * i + 4])"
+
+    def hexed(value: str) -> str:
+        return f"right('0' || lower(to_hex({value})), 2)"
+
+    def likeness(a: str, b: str) -> str:
+        steps = f"list_sum(list_transform(list_zip({a}.k, {b}.k), lambda z: CASE abs(z[1] - z[2]) WHEN 3 THEN 6 ELSE abs(z[1] - z[2]) END))"
+        head = f"least({d.LENGTH_STEP} * abs({a}.l - {b}.l), {d.LENGTH_MOST}) + {d.RATIO_STEP} * (abs({a}.r1 - {b}.r1) + abs({a}.r2 - {b}.r2))"
+        return f"1 - least({steps} + {head}, {d.MOST}) / {float(d.MOST)}"
+
+    return f"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS no, count(*) OVER () AS n FROM documents),
+ e AS (SELECT a.doc_id, a.no, b.no AS after, a.t, a.t[:length(a.t) - length(a.t) // 4] || b.t[:length(a.t) // 4] AS new FROM o a JOIN o b ON b.no = a.no % a.n + 1),
+ every AS (SELECT no, 0 AS kind, t FROM e UNION ALL SELECT no, 1, new FROM e),
+ bytes AS (SELECT no, kind, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM every),
+ triples AS (SELECT no, kind, unnest(list_transform(range(1, len(b) - 1), lambda i: (((b[i] + 256 * b[i + 1] + 65536 * b[i + 2]) * {d.MULTIPLIER}) % 4294967296) >> 24)) AS bucket FROM bytes),
+ met AS (SELECT no, kind, bucket, count(*) AS c FROM triples GROUP BY ALL),
+ counts AS (SELECT f.no, f.kind, list(coalesce(c, 0) ORDER BY f.bucket) AS c
+   FROM (SELECT no, kind, bucket FROM every, range({d.BUCKETS}) r(bucket)) f LEFT JOIN met USING (no, kind, bucket) GROUP BY ALL),
+ cuts AS (SELECT no, kind, c, list_sort(c) AS s, s[{quarter}] AS q1, s[{2 * quarter}] AS q2, s[{3 * quarter}] AS q3, len(b) AS size FROM counts JOIN bytes USING (no, kind)),
+ prints AS (SELECT no, kind, {codes} AS k, least(16 * q1 // greatest(q3, 1), 15) AS r1, least(16 * q2 // greatest(q3, 1), 15) AS r2,
+   CASE WHEN size = 0 THEN 0 ELSE 1 + 4 * (length(bin(size)) - 1) + (((size << 2) >> (length(bin(size)) - 1)) & 3) END AS l FROM cuts),
+ named AS (SELECT *, {hexed('l')} || {hexed('16 * r1 + r2')} || array_to_string(list_transform({packed}, lambda x: {hexed('x')}), '') AS print FROM prints)
+SELECT e.doc_id, length(t) AS n_chars, sha256(new) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+  {likeness('a', 'b')} AS near_edited, {likeness('a', 'x')} AS near_next
+FROM e JOIN named a ON a.no = e.no AND a.kind = 0 JOIN named b ON b.no = e.no AND b.kind = 1 JOIN named x ON x.no = e.after AND x.kind = 0
+"""
+
+
+DIGESTS = _digests()
+
+
+def _resampled() -> str:
+    from kgspark.llm import importance as i
+
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "l || list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) || list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])"
+    byte = "list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    ratio = f"(t + 1) * (all_s + {i.BUCKETS}) / ((s + 1) * (all_t + {i.BUCKETS}))"
+    noise = "floor(-1000 * ln(-ln((CAST('0x' || left(sha256('" + i.SEED + ":' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))"
+    return f"""
+WITH tab AS (SELECT list(list_reduce([CAST(k AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {i.POLYNOMIAL}) ELSE c >> 1 END) ORDER BY k) AS tab FROM range(256) r(k)),
+ w AS (SELECT doc_id, row_number() OVER () AS no, {words} AS l FROM documents UNION ALL SELECT NULL, NULL, {words} FROM benchmark),
+ f AS (SELECT no, unnest({runs}) AS x FROM w),
+ crc AS (SELECT x, xor(list_reduce([CAST(4294967295 AS BIGINT)] || {byte}, lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % {i.BUCKETS} AS bucket
+   FROM (SELECT DISTINCT x FROM f), tab),
+ n AS (SELECT bucket, CAST(count(*) FILTER (no IS NOT NULL) AS DOUBLE) AS s, CAST(count(*) FILTER (no IS NULL) AS DOUBLE) AS t FROM f JOIN crc USING (x) GROUP BY bucket),
+ gain AS (SELECT bucket, CAST(floor(1000 * ln({ratio})) AS BIGINT) AS g FROM n, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM n)),
+ sums AS (SELECT no, count(*) AS n_features, sum(g) AS weight FROM f JOIN crc USING (x) JOIN gain USING (bucket) WHERE no IS NOT NULL GROUP BY no),
+ scored AS (SELECT doc_id, len(l) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+   CAST(coalesce(weight, 0) + {noise} AS BIGINT) AS score FROM w LEFT JOIN sums USING (no) WHERE w.no IS NOT NULL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {i.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) AS r, count(*) FILTER (n_words >= {i.LEAST_WORDS}) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {i.LEAST_WORDS} AND r <= {i.PER_CENT} * n // 100 THEN r END AS rank FROM ranked
+"""
+
+
+RESAMPLED = _resampled()
+
+
+def _audit() -> str:
+    from kgspark.llm import divergence as d
+
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+    def share(n: str, size: str) -> str:
+        return f"1 + ({d.UNIT} * CAST({n} + {d.SMOOTH} AS HUGEINT)) // ({size} + {d.SMOOTH} * v)"
+
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {terms} AS l FROM documents),
+ words AS (SELECT no, lang, source, unnest(l) AS term FROM docs),
+ kept AS (SELECT lang, term, count(*) AS all_n FROM words GROUP BY lang, term HAVING count(DISTINCT no) >= {d.LEAST_DOCS}),
+ langs AS (SELECT lang, count(*) AS v, sum(all_n) AS all_size FROM kept GROUP BY lang),
+ groups AS (SELECT DISTINCT lang, source FROM docs),
+ counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+ sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+ dense AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "size")} AS p, {share("all_n", "all_size")} AS q
+   FROM sizes s JOIN kept k ON s.lang = k.lang JOIN langs g ON s.lang = g.lang LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+ met AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN met m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source),
+ every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= {d.TOP_TERMS}
+"""
+
+
+AUDIT = _audit()
