@@ -31,7 +31,8 @@ from kgspark.functions.text import (
     unescape_fields,
 )
 
-from .scale import rank_in_groups, top_per_key
+from .names import marks_in_own_texts
+from .scale import cut_lineage, rank_in_groups, top_per_key
 
 # Fixed values.
 UNKNOWN = "UNKNOWN"
@@ -383,20 +384,27 @@ def bounded_paths(paths: DataFrame, keys: list[str], limit: int = PATH_BYTES) ->
 
 
 def grounded(relations: DataFrame, docs: DataFrame) -> DataFrame:
-    """Relations whose ends and whose keyword or description stand in the document's text."""
-    r = relations.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
+    """Relations whose ends and whose keyword or description stand in the document's text.
 
-    def there(c):
-        return F.contains(F.col("_t"), F.col(c))
-
-    def named(c):
+    A text is read once for all that its relations name.
+    """
+    named = ("src", "tgt", "keywords", "description")
+    wanted = relations.select("doc_id", F.explode(F.array(*named, F.lit(CAUSE_WORD))).alias("mark"))
+    there = cut_lineage(marks_in_own_texts(docs, wanted))
+    r = relations.join(docs.select("doc_id"), "doc_id")
+    for column in named:
+        mine = there.select("doc_id", F.col("mark").alias(column), F.lit(True).alias(f"_{column}"))
+        r = r.join(mine, ["doc_id", column], "left")
+    caused = there.filter(F.col("mark") == CAUSE_WORD).select("doc_id", F.lit(True).alias("_cause"))
+    r = r.join(caused, "doc_id", "left")
+
+    def end(c):
         own = F.col("doc_id").cast("string")
-        fake = F.col(c).isin("") | (F.col(c) == F.concat(own, F.lit("-a"))) | (F.col(c) == F.concat(own, F.lit("-b")))
-        return ~fake & there(c)
+        return F.col(f"_{c}") & ~F.col(c).isin("") & (F.col(c) != F.concat(own, F.lit("-a"))) & (F.col(c) != F.concat(own, F.lit("-b")))
 
-    cause = ~F.contains("keywords", F.lit(CAUSE_WORD)) | F.contains(F.col("_t"), F.lit(CAUSE_WORD))
-    said = ((F.col("keywords") != "") & there("keywords")) | ((F.length("description") >= 2) & there("description"))
-    return r.filter(named("src") & named("tgt") & cause & said).drop("_t")
+    cause = ~F.contains("keywords", F.lit(CAUSE_WORD)) | F.coalesce("_cause", F.lit(False))
+    said = F.coalesce(F.col("_keywords"), F.lit(False)) | (F.coalesce(F.col("_description"), F.lit(False)) & (F.length("description") >= 2))
+    return r.filter(end("src") & end("tgt") & cause & said).select(relations.columns)
 
 
 def merge_evidence(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .names import names_in_texts
 from .scale import cut_lineage, salt, salted_join, spread, top_per_key
 
 # Fixed values.
@@ -247,21 +248,12 @@ def pagerank_retrieval(edges: DataFrame, nodes: DataFrame, hits: DataFrame, top_
 def label_seeds(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Nodes whose label stands in the query, longest label only: (query_id, name, score).
 
-    A query offers its distinct substrings of every length that labels have, so a label is met by equality
-    with the whole of it: labels that begin alike are different keys, and texts stay out of the join.
+    All labels are looked for in one pass over a query, whatever their lengths.
     """
     labelled = nodes.filter(F.length("label") >= 2).select("name", "label")
-    sizes = labelled.agg(F.sort_array(F.collect_set(F.length("label"))).alias("_sizes"))  # one row, short
-
-    def grams(n):
-        fits = F.sequence(F.lit(1), F.length("text") - n + 1)
-        return F.when(F.length("text") >= n, F.transform(fits, lambda i: F.col("text").substr(i, n))).otherwise(F.array().cast("array<string>"))
-
-    asked = queries.select("query_id", "text").crossJoin(F.broadcast(sizes))
-    offered = F.explode(F.array_distinct(F.flatten(F.transform("_sizes", grams))))
-    hits = asked.select("query_id", offered.alias("label")).join(labelled, "label")
-    longest = hits.groupBy("query_id").agg(F.max(F.length("label")).alias("_n"))
-    best = hits.join(longest, "query_id").filter(F.length("label") == F.col("_n")).select("query_id", "name").distinct()
+    hits = names_in_texts(queries, labelled, "query_id").withColumn("_n", F.length("label"))
+    longest = hits.groupBy("query_id").agg(F.max("_n").alias("_n"))
+    best = hits.join(longest, ["query_id", "_n"]).join(labelled, "label").select("query_id", "name").distinct()
     return best.select("query_id", "name", F.lit(SEED_LABEL_SCORE).alias("score"))
 
 

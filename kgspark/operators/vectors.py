@@ -41,7 +41,7 @@ def hashed_embedding(df: DataFrame, id_col: str, text: str = "text", keep: list[
     Slots are counted inside the row, so neither texts nor counts are shuffled.
     """
     keys = [id_col, *(keep or [])]
-    slots = F.array_sort(F.transform(tokens(F.col(text)), slot))
+    slots = F.sort_array(F.transform(tokens(F.col(text)), slot))
 
     def counted(s: Column) -> Column:
         """Where each slot begins in the sorted list, and how often it stands there."""
@@ -49,12 +49,15 @@ def hashed_embedding(df: DataFrame, id_col: str, text: str = "text", keep: list[
         runs = bind(new, lambda at: F.transform(at, lambda i, j: F.struct(
             F.get(s, i - 1).alias("slot"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - i).cast("double").alias("n"),
         )))
-        return F.when(F.size(s) > 0, runs)
+        return F.when(F.size(s) > 0, bind(runs, weighted))
 
-    rows = df.select(*keys, bind(slots, counted).alias("_c"))
-    squares = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"])
-    rows = rows.select(*keys, F.sqrt(squares).alias("_norm"), F.explode("_c").alias("_e"))
-    return rows.select(*keys, "_e.slot", (F.col("_e.n") / F.col("_norm")).alias("w"))
+    def weighted(runs: Column) -> Column:
+        """Each slot's share; the norm is taken once, before the slots become rows."""
+        norm = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
+        return bind(norm, lambda total: F.transform(runs, lambda c: F.struct(c["slot"].alias("slot"), (c["n"] / total).alias("w"))))
+
+    rows = df.select(*keys, F.explode(bind(slots, counted)).alias("_e"))
+    return rows.select(*keys, "_e.slot", "_e.w")
 
 
 def sparse_cosine(docs: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -6,41 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import query_route, spaced_words, squash, strip, subquestions, token_count
+from kgspark.functions.text import query_route, squash, subquestions, token_count
 from kgspark.operators import evaluation as E
 from kgspark.operators import fusion as R
 from kgspark.operators import graph_query as N
 from kgspark.operators import lexical as L
 from kgspark.operators import vectors as V
 from kgspark.operators.lexical import by_score
+from kgspark.operators.names import names_in_texts
 from kgspark.operators.scale import cut_lineage, rank_in_groups, top_per_key, written
 
 
-def containing(docs: DataFrame, marks: DataFrame, anchor_words: int = 3) -> DataFrame:
-    """Documents whose text contains a mark: (query_id, doc_id).
-
-    A mark's first inner words are the join key against the same windows of the documents, so no
-    document is compared with every mark; ``contains`` confirms. Marks shorter than the key have no
-    inner words to look up: if there are any, that query set is tested against all documents.
-    """
-    def grams(words, n):
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.transform(F.slice(words, i, n), strip), " ")))
-
-    m = marks.select("query_id", "mark", spaced_words(F.col("mark")).alias("_w"))
-    # The first and last word of a mark may be cut; the key starts at the second.
-    key = F.array_join(F.transform(F.slice("_w", 2, anchor_words), strip), " ")
-    m = m.filter(F.size("_w") >= anchor_words + 2).select("query_id", "mark", key.alias("_k"))
-    short = marks.filter(F.size(spaced_words(F.col("mark"))) < anchor_words + 2)
-    d = docs.select("doc_id", "text", spaced_words(F.col("text")).alias("_w"))
-    keyed = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("_w"), anchor_words))).alias("_k"))
-    pairs = keyed.join(m, "_k").select("query_id", "mark", "doc_id").distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("mark")))
-    found = found.select("query_id", "doc_id")
-    short = short.filter(F.length("mark") > 0).select("query_id", "mark")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(short, F.contains("text", F.col("mark"))).select("query_id", "doc_id"))
+def containing(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Documents whose text contains a mark: (query_id, doc_id). All marks are looked for in one pass over a text."""
+    found = names_in_texts(docs, marks, name="mark")
+    return found.join(marks.select("query_id", "mark"), "mark").select("query_id", "doc_id").distinct()
 
 
 # ---- search modes -----------------------------------------------------------------------
