@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="kgspark-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the files of one run, in the store that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     context = df.sparkSession.sparkContext
@@ -43,7 +48,7 @@ def written(df: DataFrame) -> DataFrame:
     shuffled beyond it.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from kgspark.functions.text import token_count
 from kgspark.operators import fusion as R
 from kgspark.operators import vectors as V
+from kgspark.operators.inverted import InvertedIndex
+from kgspark.operators.scale import new_folder
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
 from kgspark.plans.registry import query, read
@@ -31,6 +33,18 @@ def t3(spark, sf):
     return _r(D.keyword_hits(spark, sf), "query_id", "doc_id", "rank", "keyword_score", "raw_score")
 
 
+@query(
+    "T3_indexed_hits",
+    f"WITH {S.KEYWORD} SELECT query_id, doc_id, rank, round(score, 6) AS keyword_score, round(raw_score, 6) AS raw_score FROM keyword",
+)
+def t3_indexed(spark, sf):
+    """The same hits from a stored index to which the documents came in two parts."""
+    index = InvertedIndex(spark, new_folder(spark, "inverted"))
+    docs = D.docs(spark, sf).select("doc_id", "text")
+    index.add(docs.filter("doc_id % 2 = 0")).add(docs.filter("doc_id % 2 = 1"))
+    return _r(index.search(D.queries(spark, sf), R.BM25_TOP), "query_id", "doc_id", "rank", "keyword_score", "raw_score")
+
+
 @query(
     "V1_hashed_embedding",
     f"WITH {S.sparse('v', 'documents', 'doc_id')} SELECT id AS doc_id, slot, round(w, 6) AS w FROM v",
