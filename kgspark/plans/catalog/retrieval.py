@@ -8,6 +8,7 @@ from kgspark.functions.text import token_count
 from kgspark.operators import fusion as R
 from kgspark.operators import vectors as V
 from kgspark.operators.inverted import InvertedIndex
+from kgspark.operators.quantised import QuantisedIndex, similar_pairs
 from kgspark.operators.scale import new_folder
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
@@ -112,6 +113,55 @@ def v4_recall(spark, sf):
     return both.agg(F.count(F.lit(1)).alias("n_exact"), (F.count("_hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
+def _clustered(spark, sf):
+    """Vectors in clusters: the given ones with the label as one more direction each."""
+    flag = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(F.col("label") == i, F.lit(1.8)).otherwise(0.0).cast("float"))
+    return D.vectors(spark, sf).withColumn("embedding", F.concat("embedding", flag))
+
+
+_CLUSTERED = "(SELECT vec_id, label, embedding::DOUBLE[] || list_transform(range(10), lambda i: CASE WHEN label = i THEN 1.8::FLOAT::DOUBLE ELSE 0.0::DOUBLE END) AS embedding FROM embeddings)"
+
+
+@query(
+    "V4_quantised_recall",
+    f"""WITH given AS (WITH {_CENTRES}, pairs AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings CROSS JOIN centre) {_TOP.format(k=20)}),
+    clustered AS (WITH {_CENTRES.replace("FROM embeddings", f"FROM {_CLUSTERED}")}, pairs AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding, q) AS score FROM {_CLUSTERED} CROSS JOIN centre) {_TOP.format(k=20)})
+    SELECT 'given' AS vectors, count(*) AS n_exact, true AS enough, true AS few FROM given UNION ALL SELECT 'clustered', count(*), true, true FROM clustered""",
+)
+def v4_quantised(spark, sf):
+    """Exact hits; whether the stored index finds nine in ten of them, and scores fewer than a quarter of the vectors."""
+    out = None
+    for name, v in (("given", D.vectors(spark, sf)), ("clustered", _clustered(spark, sf))):
+        asked = V.centroids(v, "label")
+        index = QuantisedIndex(spark, new_folder(spark, "quantised")).build(v.select("doc_id", "embedding"))
+        total = v.count()
+        pool = max(20, total // 5)
+        exact = V.nearest(v, asked, 20).select("query_id", "doc_id")
+        found = index.search(asked, 20, pool).select("query_id", "doc_id", F.lit(1).alias("_hit"))
+        both = exact.join(found, ["query_id", "doc_id"], "left")
+        row = both.agg(
+            F.lit(name).alias("vectors"), F.count(F.lit(1)).alias("n_exact"), (F.count("_hit") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+            F.lit(pool < 0.25 * total).alias("few"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "V10_banded_synonyms",
+    f"""WITH v AS {_CLUSTERED}, pairs AS (SELECT a.vec_id AS q, b.vec_id AS d, round(list_cosine_similarity(a.embedding, b.embedding), 10) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    near AS (SELECT * FROM pairs WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, d) <= 3),
+    picked AS (SELECT least(q, d) AS src, greatest(q, d) AS tgt, max(s) AS w FROM near GROUP BY ALL)
+    SELECT src, tgt, round(w, 6) AS weight FROM picked
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = src AND l_partkey = tgt OR l_suppkey = tgt AND l_partkey = src)""",
+)
+def v10_banded(spark, sf):
+    """Synonym edges at the fixed threshold, from pairs that share a band of signs."""
+    near = similar_pairs(_clustered(spark, sf).select("doc_id", "embedding"), V.SYNONYM_THRESHOLD, V.SYNONYM_POOL)
+    edges = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("tgt"))
+    return V.synonym_edges(near, edges).select("src", "tgt", F.round("weight", 6).alias("weight"))
+
+
 @query(
     "V5_scoped_hits",
     f"""WITH {_CENTRES}, pairs AS (SELECT query_id, vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score
