@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.patterns import SQL as P
 from kgspark.operators import graph_build as G
+from kgspark.operators import graph_edit as X
 from kgspark.operators.scale import cut_lineage
 from kgspark.plans import domain as D
 from kgspark.plans import sqlparts as S
@@ -240,6 +241,24 @@ def g13(spark, sf):
     return G.supersede(e)
 
 
+@query(
+    "G13_closed_edges",
+    """WITH e AS (SELECT user_id AS src, event_type AS relation_type, CAST(floor(value) AS INT) % 5 AS tgt, event_id, ts FROM events),
+    t AS (SELECT src, relation_type, tgt, min(event_id) AS f, max(event_id) AS l FROM e GROUP BY ALL),
+    c AS (SELECT t.*, (SELECT max(e.event_id) FROM e WHERE e.src = t.src AND e.relation_type = t.relation_type AND e.tgt <> t.tgt AND e.event_id > t.f) AS closer FROM t)
+    SELECT c.src, c.relation_type, CAST(c.tgt AS INT) AS tgt, l AS relation_id, CASE WHEN closer IS NULL THEN 'active' ELSE 'superseded' END AS status, closer AS superseded_by,
+      CAST(floor(epoch(ts)) AS BIGINT) AS invalid_at FROM c LEFT JOIN e ON e.event_id = closer""",
+)
+def g13_closed(spark, sf):
+    """The second half of the events comes on top of the first."""
+    e = read(spark, sf, "events").select(
+        F.col("user_id").alias("src"), F.col("event_type").alias("relation_type"), (F.floor("value").cast("int") % 5).alias("tgt"),
+        F.col("event_id").alias("position"), F.col("event_id").alias("relation_id"), F.col("ts").cast("timestamp").cast("long").alias("at"),
+    )
+    middle = e.agg(F.max("position")).first()[0] // 2
+    return X.supersede_onto(e.filter(F.col("position") <= middle), e.filter(F.col("position") > middle))
+
+
 @query(
     "G14_merge_nodes",
     """WITH n AS (SELECT 'P' || p_partkey AS name, p_partkey AS position, p_type, p_brand, p_retailprice FROM part),
@@ -268,6 +287,57 @@ def g14_edges(spark, sf):
     return G.rewire_edges(D.edges(spark, sf).select("src", "tgt", "weight"), _mapping(spark, sf))
 
 
+#: Chains of five parts; at every twentieth the chain runs back into itself.
+_CHAINS = """
+ m AS (SELECT 'P' || p_partkey AS source, 'P' || CASE WHEN p_partkey % 20 = 0 THEN p_partkey - 3 ELSE p_partkey + 1 END AS target FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 20 = 0),
+ walk AS (SELECT source, target, 1 AS n FROM m UNION ALL SELECT w.source, m.target, n + 1 FROM walk w JOIN m ON m.source = w.target WHERE n < 30),
+ ends AS (SELECT source, arg_max(target, n) AS target, max(n) >= 30 AS cyclic FROM walk GROUP BY source),
+ done AS (SELECT e.source, CASE WHEN cyclic THEN m.target ELSE e.target END AS target, cyclic FROM ends e JOIN m USING (source))"""
+
+
+def _chains(spark, sf):
+    k = F.col("p_partkey")
+    onward = F.when(k % 20 == 0, k - 3).otherwise(k + 1)
+    return read(spark, sf, "part").filter("p_partkey % 5 <> 0 OR p_partkey % 20 = 0").select(F.concat(F.lit("P"), k).alias("source"), F.concat(F.lit("P"), onward).alias("target"))
+
+
+@query("G14_resolved_chains", f"WITH RECURSIVE {_CHAINS} SELECT source, target, cyclic FROM done")
+def g14_chains(spark, sf):
+    return X.resolve_merges(_chains(spark, sf))
+
+
+_STRATEGIES = {"p_type": "concatenate", "p_brand": "join_unique", "p_size": "keep_last", "p_retailprice": "max"}
+
+
+def _merged_chains(spark, sf):
+    p = read(spark, sf, "part")
+    nodes = p.select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.col("p_partkey").alias("position"), *_STRATEGIES)
+    edges = D.edges(spark, sf).select("src", "tgt", "weight", F.col("src").alias("position"))
+    return X.merge_graph(nodes, edges, _chains(spark, sf), _STRATEGIES, {"weight": "max"})
+
+
+_ENDS = f"{_CHAINS}, to_ AS (SELECT source, target FROM done WHERE NOT cyclic)"
+
+
+@query(
+    "G14_merged_chains",
+    f"""WITH RECURSIVE {_ENDS}, n AS (SELECT coalesce(target, 'P' || p_partkey) AS name, part.* FROM part LEFT JOIN to_ ON source = 'P' || p_partkey)
+    SELECT name, string_agg(p_type, chr(10) || chr(10) ORDER BY p_partkey) AS p_type, array_to_string(list_sort(list(DISTINCT p_brand)), '<SEP>') AS p_brand,
+      arg_max(p_size, p_partkey) AS p_size, max(p_retailprice) AS p_retailprice, count(*) AS n_merged FROM n GROUP BY name""",
+)
+def g14_merged(spark, sf):
+    return _merged_chains(spark, sf)[0]
+
+
+@query(
+    "G14_moved_edges",
+    f"""WITH RECURSIVE {_ENDS}, e AS (SELECT 'P' || l_partkey AS p, 'S' || l_suppkey AS s, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)
+    SELECT coalesce(target, p) AS src, s AS tgt, max(weight) AS weight, count(*) AS n_merged FROM e LEFT JOIN to_ ON source = p GROUP BY ALL""",
+)
+def g14_moved(spark, sf):
+    return _merged_chains(spark, sf)[1]
+
+
 def _changes(spark, sf):
     """Rename every 10th part, retype every 15th, and try some parts that do not exist."""
     p = read(spark, sf, "part").filter("p_partkey % 5 = 0").select("p_partkey")
@@ -317,6 +387,43 @@ def g15_create(spark, sf):
     return G.create_elements(wanted, D.edges(spark, sf), ["src", "tgt"])[0]
 
 
+@query(
+    "G15_edited_edges",
+    f"""WITH {_EDITS}, r AS (SELECT name, new_name FROM k WHERE reason IS NULL AND new_name IS NOT NULL)
+    SELECT coalesce(new_name, 'P' || l_partkey) AS src, 'S' || l_suppkey AS tgt, sum(l_quantity) AS weight FROM lineitem LEFT JOIN r ON name = 'P' || l_partkey GROUP BY ALL""",
+)
+def g15_edges(spark, sf):
+    """Edges follow the parts that are renamed."""
+    return X.edit_graph(_part_nodes(spark, sf), D.edges(spark, sf).select("src", "tgt", "weight"), _changes(spark, sf))[1]
+
+
+@query(
+    "G15_edited_relations",
+    """WITH e AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt, sum(l_quantity) AS weight, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey)
+    SELECT src, tgt, CASE WHEN l_suppkey % 3 = 0 THEN -weight ELSE weight END AS weight FROM e""",
+)
+def g15_relations(spark, sf):
+    e = D.edges(spark, sf).select("src", "tgt", "weight")
+    third = e.filter("CAST(substring(tgt, 2) AS INT) % 3 = 0").select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), (-F.col("weight")).alias("weight"))
+    return X.edit_relations(e, third)[0]
+
+
+@query(
+    "G15_checked_relations",
+    """WITH n AS (SELECT count(*) AS n FROM supplier), w AS (SELECT p_partkey AS p, p_partkey % n + CASE WHEN p_partkey % 7 = 0 THEN 1000000 ELSE 0 END AS s FROM part, n)
+    SELECT 'P' || p AS src, 'S' || s AS tgt, CASE WHEN p NOT IN (SELECT l_partkey FROM lineitem) OR s NOT IN (SELECT l_suppkey FROM lineitem) THEN 'missing end'
+      WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p AND l_suppkey = s) THEN 'exists' ELSE 'created' END AS reason FROM w""",
+)
+def g15_checked(spark, sf):
+    n = read(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("p_partkey")
+    wanted = read(spark, sf, "part").crossJoin(F.broadcast(n)).select(  # one row
+        F.concat(F.lit("S"), k % F.col("n") + F.when(k % 7 == 0, 1000000).otherwise(0)).alias("tgt"), F.concat(F.lit("P"), k).alias("src")
+    )
+    created, rejected = X.create_relations(wanted, D.edges(spark, sf), D.nodes(spark, sf))
+    return created.withColumn("reason", F.lit("created")).unionByName(rejected)
+
+
 @query(
     "G16_delete_nodes",
     """SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt, sum(l_quantity) AS weight FROM lineitem
