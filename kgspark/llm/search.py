@@ -23,8 +23,8 @@ from kgspark.operators.scale import top_per_key
 BLOCK = 64  # documents whose maxima are kept together
 RANGE = 2048  # documents in one row of the index
 GROUP = 256  # queries that travel together
-LIMIT = 1 << 26  # greatest component, so that sums of 1024 products stay below 2**63
-NONE = -(1 << 62)  # below every score, and its negative is a number, too
+LIMIT = 1 << 62  # scores and components from here on raise an error
+NONE = -LIMIT  # below every score, and its negative is a number, too
 HITS = "query_no long, query_id long, vec_id long, score long"
 
 
@@ -37,9 +37,10 @@ def usable(vector: str | Column) -> Column:
 
 
 def quantised(vector: str | Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as a double, cut at LIMIT."""
+    """floor(scale * x) of each component as a double, in whole 64-bit numbers; raises where LIMIT is reached."""
     def step(x: Column) -> Column:
-        return F.least(F.greatest(F.floor(x.cast("double") * scale), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int")
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < float(LIMIT), F.floor(scaled)).otherwise(F.raise_error(F.lit("a component times the scale exceeds 62 bits")).cast("long"))
 
     return F.transform(vector, step)
 
@@ -53,20 +54,37 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers; in floating point where every sum is exact there."""
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T in whole numbers: in floating point or 64 bits where every sum is exact there, else without limit."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if top < 2**61:
+        return a @ b.T
+    return a.astype(object) @ b.T.astype(object)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores a @ b.T as 64-bit numbers; raises where one reaches LIMIT."""
+    found = _product(a, b)
+    if found.dtype == object:
+        if found.size and max(found.max(), -found.min()) >= LIMIT:
+            raise OverflowError("an inner product exceeds 62 bits")
+        found = found.astype(np.int64)
+    return found
 
 
 def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return _exact(np.maximum(queries, 0), high) + _exact(np.minimum(queries, 0), low)
+    """Greatest scores that blocks allow; what is beyond LIMIT counts as LIMIT."""
+    found = _product(np.maximum(queries, 0), high) + _product(np.minimum(queries, 0), low)
+    return np.clip(found, -LIMIT, LIMIT).astype(np.int64) if found.dtype == object else found
+
 
+def build_index(vectors: DataFrame, dims: int, kind: str = "<i4") -> DataFrame:
+    """Index of ``vec_id, q`` (integer vectors): one row per range with ids, vectors and block bounds.
 
-def build_index(vectors: DataFrame, dims: int) -> DataFrame:
-    """Index of ``vec_id, q`` (integer vectors): one row per range with ids, vectors and block bounds."""
+    ``kind`` is the number type that components are stored in.
+    """
     home = F.coalesce(F.array_position("q", F.array_max("q")), F.lit(0))
     numbered = number_rows(vectors.withColumn("_home", home), ["_home", "vec_id"])
     ranged = numbered.withColumn("range", F.expr(f"row_no div {RANGE}"))
@@ -76,7 +94,7 @@ def build_index(vectors: DataFrame, dims: int) -> DataFrame:
         rows = _matrix(table.column("q").combine_chunks(), dims)
         blocks = [rows[i:i + BLOCK] for i in range(0, len(rows), BLOCK)]
         high, low = np.array([b.max(0) for b in blocks]), np.array([b.min(0) for b in blocks])
-        blob = [x.astype("<i4").tobytes() for x in (rows, high, low)]
+        blob = [x.astype(kind).tobytes() for x in (rows, high, low)]
         return pa.table({
             "range": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()),
             "rows": pa.array(blob[:1], pa.binary()), "high": pa.array(blob[1:2], pa.binary()), "low": pa.array(blob[2:], pa.binary()),
@@ -85,18 +103,18 @@ def build_index(vectors: DataFrame, dims: int) -> DataFrame:
     return ranged.groupBy("range").applyInArrow(index, "range long, ids binary, rows binary, high binary, low binary")
 
 
-def _unpack(raw: bytes, dims: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i4").reshape(-1, dims).astype(np.int64)
+def _unpack(raw: bytes, dims: int, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(-1, dims).astype(np.int64)
 
 
-def _best_ranges(dims: int):
+def _best_ranges(dims: int, kind: str):
     """Task function: for each query of a group, its greatest block bound in one range."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 group, numbers, vectors, where, high, low = (batch.column(c)[i] for c in ("group", "query_nos", "vectors", "range", "high", "low"))
-                top = _bounds(_matrix(vectors.values, dims), _unpack(high.as_py(), dims), _unpack(low.as_py(), dims)).max(1)
+                top = _bounds(_matrix(vectors.values, dims), _unpack(high.as_py(), dims, kind), _unpack(low.as_py(), dims, kind)).max(1)
                 n = len(top)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group.as_py()] * n, pa.int64()), numbers.values, pa.array([where.as_py()] * n, pa.int64()), pa.array(top)],
@@ -106,7 +124,7 @@ def _best_ranges(dims: int):
     return best
 
 
-def _score(dims: int, k: int):
+def _score(dims: int, k: int, kind: str):
     """Task function: hits of a group's queries in one range, best blocks first, from each query's floor."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +134,7 @@ def _score(dims: int, k: int):
                 queries = _matrix(batch.column("vectors")[i].values, dims)
                 floor = batch.column("floors")[i].values.to_numpy().copy()
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
-                rows, high, low = (_unpack(batch.column(c)[i].as_py(), dims) for c in ("rows", "high", "low"))
+                rows, high, low = (_unpack(batch.column(c)[i].as_py(), dims, kind) for c in ("rows", "high", "low"))
                 bounds = _bounds(queries, high, low)
                 order = np.argsort(-bounds, axis=1, kind="stable")
                 held_ids = np.full((len(own), k), np.iinfo(np.int64).max)
@@ -156,13 +174,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64) -> Data
     Vectors of different lengths meet in the components both have. Rows that share an id are one
     another's self, so they never meet; apart from that every row counts: a candidate in two rows stands
     twice among the hits, and so does every hit of a query in two rows. Fewer than ``k`` others are all returned; an empty table or query
-    set gives no rows.
+    set gives no rows. Components and scores are whole 64-bit numbers; LIMIT and beyond raise.
     """
     good = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
     good = good.select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding", scale).alias("q"), is_query.alias("_query"))
     good = cut_lineage(good)
-    dims = good.agg(F.max(F.size("q"))).first()[0] or 1
-    index = cut_lineage(build_index(good.select("vec_id", "q"), dims))
+    dims, top = good.agg(F.max(F.size("q")), F.max(F.array_max(F.transform("q", F.abs)))).first()
+    dims, kind = dims or 1, "<i4" if (top or 0) < 2**31 else "<i8"
+    index = cut_lineage(build_index(good.select("vec_id", "q"), dims, kind))
     asked = number_rows(good.where("_query").select("vec_id", "q"), ["vec_id"], "query_no")
     asked = cut_lineage(asked.select(F.expr(f"query_no div {GROUP}").alias("group"), "query_no", F.col("vec_id").alias("query_id"), "q"))
 
@@ -175,13 +194,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 64) -> Data
     lowest = F.lit(NONE).cast("long")
     packs = grouped(asked, ["group"], lowest)
     # The stated query set meets every range, in blocks: groups of queries times rows of the index.
-    bounds = packs.crossJoin(index.select("range", "high", "low")).mapInArrow(_best_ranges(dims), "group long, query_no long, range long, bound long")
+    bounds = packs.crossJoin(index.select("range", "high", "low")).mapInArrow(_best_ranges(dims, kind), "group long, query_no long, range long, bound long")
     first = bounds.groupBy("group", "query_no").agg(F.max_by("range", F.struct("bound", -F.col("range"))).alias("range"))
     seeds = grouped(asked.join(first.drop("group"), "query_no"), ["group", "range"], lowest)
-    seeded = seeds.join(index, "range").mapInArrow(_score(dims, k), HITS)
+    seeded = seeds.join(index, "range").mapInArrow(_score(dims, k, kind), HITS)
     kth = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(lowest)
     floors = _top(seeded, "query_no", k).groupBy("query_no").agg(kth.alias("_floor"))
     asked = asked.join(floors, "query_no", "left").withColumn("_floor", F.coalesce("_floor", lowest))
     packs = grouped(asked, ["group"], F.col("_floor"))
-    hits = packs.crossJoin(index).mapInArrow(_score(dims, k), HITS)
+    hits = packs.crossJoin(index).mapInArrow(_score(dims, k, kind), HITS)
     return _top(hits.drop("query_no"), "query_id", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

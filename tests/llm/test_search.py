@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.llm import search
@@ -55,3 +56,19 @@ def test_every_row_counts(spark, shared, monkeypatch):
             want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(scores[:k])]
         got = search.top_k(df, F.col("vec_id") % 5 == 0, k).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_great_components_are_not_cut(spark, shared):
+    """The greatest vector times itself is beyond 64 bits, but no score is."""
+    rows = [(0, [2e6, 1.0]), (2, [3e6, 0.0]), (3, [4e6, 0.5]), (5, [-5e6, 3.0]), (7, [2e8, -1e5]), (8, [1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in search.top_k(df, F.col("vec_id").isin(0, 8), 5).orderBy("query_id", "rank").collect()]
+    q = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    assert got == [(a, b, s) for a in (0, 8) for s, b in sorted(((sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a), key=lambda x: (-x[0], x[1]))]
+
+
+def test_scores_beyond_64_bits_raise(spark, shared):
+    for top in (1e10, 1e18):
+        df = spark.createDataFrame([(0, [top]), (1, [top])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="exceeds 62 bits"):
+            search.top_k(df, F.lit(True), 5).collect()
