@@ -6,8 +6,10 @@ labels are tied by a transition weight. Forward-backward gives each line's proba
 their mean, weighted by line length, the quality of the document, which a logistic curve fitted on the
 training documents turns into a score.
 
-The field is fitted on a bounded sample of labelled documents (SAMPLE_DOCUMENTS, and SAMPLE_LINES lines of
-each), in which every line has its document's label. Scoring uses whole texts and needs no shuffle.
+The field is fitted on a bounded sample of labelled documents (SAMPLE_DOCUMENTS), in which every line has its
+document's label. Of a document with more than SAMPLE_LINES lines, that many neighbouring ones from a place
+set by its hash are learnt from, so all parts of long documents are seen; lines of more than SAMPLE_BYTES together
+are no sample. Scoring uses whole texts and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from kgspark.llm.common import hash_sample
 
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_LINES = 200
+SAMPLE_BYTES = 64 << 10
 RUN_BYTES = 2 << 20
 STEPS = 250
 PENALTY = 1e-3
@@ -201,8 +204,9 @@ def train(df: DataFrame, labels: DataFrame, use: Column) -> dict:
     sample = hash_sample(known, "doc_id", SAMPLE_DOCUMENTS)
     # The sample is bounded, so it can go to every task of the scan.
     rows = df.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    limited = F.array_join(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES), "\n")
-    rows = rows.select("doc_id", limited.alias("text"), "_label").repartition(1).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_l", F.split("text", "\n")).withColumn("_at", F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("_l") - SAMPLE_LINES, F.lit(0)) + 1))
+    limited = F.array_join(F.slice("_l", (F.col("_at") + 1).cast("int"), SAMPLE_LINES), "\n")
+    rows = rows.select("doc_id", limited.alias("text"), "_label").where(F.octet_length("text") <= SAMPLE_BYTES).repartition(1).sortWithinPartitions("doc_id", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
