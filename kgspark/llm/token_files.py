@@ -43,7 +43,7 @@ MAGIC = b"KTOK1\0"
 HEAD = struct.Struct("<6sHI32s")
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 2_000  # the dictionary's training sample
-SAMPLE_CHARS = 20_000  # of each of them; the dictionary only speeds up compression
+SAMPLE_CHARS = 20_000  # of each of them, from a place set by its hash; the dictionary only decides about sizes
 BLOCK_TOKENS = 1 << 20
 
 BLOCKS = (
@@ -54,6 +54,8 @@ DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def serialise(ids: np.ndarray, width: int) -> bytes:
+    if width == 2 and len(ids) and ids.max() > 0xFFFF:
+        raise ValueError("a token id does not fit into 2 bytes; write with width 4")
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
@@ -64,7 +66,8 @@ def train_dictionary(df: DataFrame, path: str, spaces: bool, end_id: int, width:
     an empty one an empty dictionary.
     """
     sample = hash_sample(df.select("doc_id", "text"), "doc_id", SAMPLE_DOCUMENTS)
-    sample = sample.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).coalesce(1)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    sample = sample.select(F.col("text").substr(place, F.lit(SAMPLE_CHARS)).alias("text")).coalesce(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
