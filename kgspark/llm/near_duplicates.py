@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import arrays, setsketch
@@ -30,7 +30,10 @@ from kgspark.llm.exchange import LEAST_PARTS
 
 RUN_BYTES = 1 << 20
 BLOCK = 256  # members of a bucket compared with each other at once
+TILE_BYTES = 16 << 20  # sets compared with each other at once, as 8 bytes per shingle
 LUMP = 2_000  # rows that travel together to one Python call
+LUMP_BYTES = 32 << 20  # and sets that do
+MOST_TASKS = 20_000
 MARGIN = 4.5
 
 
@@ -50,6 +53,14 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else hashes), first
 
 
+def _prints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints of each set; 0 for empty sets."""
+    some, out = np.flatnonzero(np.diff(first)), np.zeros((2, len(first) - 1), np.uint64)
+    for j, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F) if len(some) else ()):
+        out[j, some] = np.add.reduceat(arrays.mix(hashes ^ np.uint64(salt)), first[some])
+    return out
+
+
 def _sketch(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,13 +68,11 @@ def _sketch(size: int):
                 hashes, first = shingle_sets(batch.column(1).slice(low, high - low), size)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
-                registers, prints = [None] * len(n), np.zeros((2, len(n)), np.uint64)
+                registers, prints = [None] * len(n), _prints(hashes, first)
                 if len(some):
                     starts = np.append(first[some], len(hashes))
                     for i, row in zip(some.tolist(), setsketch.sketches(hashes, starts)):
                         registers[i] = row.tobytes()
-                    for j, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                        prints[j, some] = np.add.reduceat(arrays.mix(hashes ^ np.uint64(salt)), starts[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                      pa.array(registers, pa.binary())],
@@ -92,7 +101,8 @@ def _sets(size: int):
             for low, high in arrays.row_runs(batch.column(1), RUN_BYTES):
                 hashes, first = shingle_sets(batch.column(1).slice(low, high - low), size)
                 blobs = [hashes[a:b].tobytes() for a, b in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(blobs, pa.binary())], ["member", "shingles"])
+                prints = [pa.array(p.view(np.int64)) for p in _prints(hashes, first)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(blobs, pa.binary()), *prints], ["member", "shingles", "print1", "print2"])
 
     return sets
 
@@ -140,17 +150,24 @@ def _compare(per_cent: int):
     return compare
 
 
+def lump_count(rows: int, size: int = 0) -> int:
+    return max(LEAST_PARTS, math.ceil(rows / LUMP), math.ceil(size / LUMP_BYTES))
+
+
 def verified(tiles: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links among the pairs of ``tiles`` (members, lefts, rights: pairs as positions in members).
+    """Links among the pairs of ``tiles`` (members, lefts, rights: pairs as positions in members; bytes of the sets).
 
-    Tiles travel in lumps of about LUMP sets; a set goes once to each lump that needs it.
+    Tiles travel in lumps of about LUMP sets and LUMP_BYTES; a set goes once to each lump that needs it. Lumps
+    are tasks of their own: what they cost is not seen in the bytes that are shuffled.
     """
     tiles = cut_lineage(tiles)
-    total = tiles.agg(F.coalesce(F.sum(F.size("members")), F.lit(0))).first()[0]
-    lumps = max(LEAST_PARTS, math.ceil(total / LUMP))
+    total = tiles.agg(F.coalesce(F.sum(F.size("members")), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    lumps = lump_count(*total)
     lumped = tiles.withColumn("lump", F.pmod(F.xxhash64("members", "lefts"), F.lit(lumps)))
     needed = lumped.select(F.col("lump").alias("to"), F.explode("members").alias("member")).distinct().join(sets, "member")
-    return lumped.groupBy("lump").cogroup(needed.groupBy("to")).applyInArrow(_compare(per_cent), "a long, b long")
+    tasks = min(lumps, MOST_TASKS)
+    left, right = lumped.repartition(tasks, "lump"), needed.repartition(tasks, "to")
+    return left.groupBy("lump").cogroup(right.groupBy("to")).applyInArrow(_compare(per_cent), "a long, b long")
 
 
 def _across(threshold: float):
@@ -164,7 +181,7 @@ def _across(threshold: float):
         reps, comps, n, block, band = (table.column(c).to_numpy() for c in ("rep", "component", "n", "block", "band"))
         rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
         keys = setsketch.bands(rows)
-        members, lefts, rights = [], [], []
+        members, lefts, rights, size = [], [], [], []
         for a, b in zip(cuts, [*cuts[1:], len(reps)]):
             same = tile[1, a] == tile[2, a]
             i, j = np.triu_indices(b - a, 1)
@@ -185,17 +202,23 @@ def _across(threshold: float):
             if len(i):
                 used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
                 members.append(reps[used].tolist())
+                size.append(8 * int(n[used].sum()))
                 lefts.append(at[:len(i)].tolist())
                 rights.append(at[len(i):].tolist())
         return pa.table({
             "members": pa.array(members, pa.list_(pa.int64())), "lefts": pa.array(lefts, pa.list_(pa.int32())),
-            "rights": pa.array(rights, pa.list_(pa.int32())),
+            "rights": pa.array(rights, pa.list_(pa.int32())), "bytes": pa.array(size, pa.int64()),
         })
 
     return across
 
 
-TILES = "members array<long>, lefts array<int>, rights array<int>"
+TILES = "members array<long>, lefts array<int>, rights array<int>, bytes long"
+
+
+def _spread(members: Column, size: Column) -> Column:
+    """Blocks that members with sets of so many shingles are cut into."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(size * 8 / TILE_BYTES))
 
 
 def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
@@ -204,49 +227,63 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct runs of ``size``
     words, or all words of a shorter text as one. NULL, empty and blank texts have no set, link with
     nothing and are kept. Linked are sets with ``100 * |both| >= per_cent * |either|``. Rows that share
-    an id count as one document. Rows without an id link with nothing, have no component and are kept.
+    an id count as one document; if their sets differ, the one with the least fingerprint stands for it.
+    Rows without an id link with nothing, have no component and are kept.
     An empty table gives no rows. Other columns are ignored.
     """
+    shingle = size
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut_lineage(docs.mapInArrow(_sketch(size), "doc_id long, n_shingles long, print1 long, print2 long, sketch binary"))
     named = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    print_of = F.struct("print1", "print2", "n_shingles")
+    split = named.groupBy("doc_id").agg(F.min(print_of).alias("_least"), F.max(print_of).alias("_most")).where("_least <> _most")
+    split = written(split.select("doc_id", "_least"), "split")  # ids whose rows have different sets
+    sketched = sketched.join(split, "doc_id", "left")
+    named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & (F.col("_least").isNull() | (F.col("_least") == print_of)))
     classes = named.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes.select("print1", "print2", F.col("n_shingles").alias("n"), "rep", "sketch"))
     banded = classes.select("rep", "n", "sketch").mapInArrow(_band_rows, "bucket long, band int, rep long, n long")
     # Sums per bucket or centre are written before they are joined: a join of two shuffled tables can be
     # split where a key is hot, one with an aggregation on top of its shuffle cannot.
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")
     buckets = cut_lineage(banded.join(written(shared, "buckets"), "bucket"))
     company = buckets.groupBy("rep").agg(F.sum("members").alias("company"))
     centre = buckets.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"), "n")).alias("c"))
-    stars = buckets.join(written(centre, "centres"), "bucket").select("rep", "n", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"))
+    stars = buckets.join(written(centre, "centres"), "bucket")
+    stars = stars.select("rep", "n", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"))
     fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * per_cent
-    stars = cut_lineage(stars.where((F.col("rep") != F.col("centre")) & fits).select("rep", "centre").distinct())
-    loads = stars.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    stars = cut_lineage(stars.where((F.col("rep") != F.col("centre")) & fits).distinct())
+    loads = stars.groupBy("centre").agg(_spread(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     dealt = stars.join(written(loads, "loads"), "centre").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     # Grouped by a key of its own, so that the join on a centre with much company can be split.
     dealt = dealt.withColumn("tile", F.xxhash64("centre", "block"))
-    tiles = dealt.groupBy("tile", "block").agg(F.min("centre").alias("centre"), F.collect_list("rep").alias("reps"))
+    size = (F.sum("n") + F.min("centre_n")) * 8
+    tiles = dealt.groupBy("tile", "block").agg(F.min("centre").alias("centre"), F.collect_list("rep").alias("reps"), size.alias("bytes"))
     tiles = tiles.select(
         F.concat(F.array("centre"), "reps").alias("members"), F.expr("transform(reps, x -> 0)").alias("lefts"),
-        F.expr("transform(reps, (x, i) -> i + 1)").alias("rights"),
+        F.expr("transform(reps, (x, i) -> i + 1)").alias("rights"), "bytes",
     )
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "member long, shingles binary"))
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "member long, shingles binary, print1 long, print2 long")
+    stands = split.select(F.col("doc_id").alias("member"), F.col("_least.print1").alias("_p1"), F.col("_least.print2").alias("_p2"))
+    sets = sets.join(stands, "member", "left").where("_p1 IS NULL OR (_p1 = print1 AND _p2 = print2)")
+    sets = cut_lineage(sets.select("member", "shingles"))
     links = cut_lineage(verified(tiles, sets, per_cent))
     found = components(links)
 
     labelled = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = cut_lineage(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
-    open_rows = labelled.join(written(mixed.select("bucket"), "mixed"), "bucket").join(classes.select("rep", "sketch"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    mixed = written(mixed.select("bucket"), "mixed")
+    open_rows = labelled.join(mixed, "bucket").join(classes.select("rep", "sketch"), "rep")
+    blocks = _spread(F.col("members"), F.col("size")).cast("int")
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "members")
-    lumps = max(LEAST_PARTS, math.ceil(labelled.count() / LUMP))
+    open_rows = open_rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "members", "size")
+    # Every row of a mixed bucket meets all blocks of it.
+    lumps = lump_count(labelled.join(mixed, "bucket").agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0])
     open_rows = open_rows.withColumn("lump", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(lumps)))
-    tiles = open_rows.groupBy("lump").applyInArrow(_across(per_cent / 100), TILES)
+    tiles = open_rows.repartition(min(lumps, MOST_TASKS), "lump").groupBy("lump").applyInArrow(_across(per_cent / 100), TILES)
     more = verified(tiles, sets, per_cent)
     first = found.select(F.col("node"), "component")
     ends = [first.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
@@ -257,6 +294,8 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     final = classes.select("print1", "print2", F.col("n").alias("n_shingles"), "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     final = final.withColumn("_first", F.coalesce("component", "rep")).join(second, "_first", "left")
     final = final.select("print1", "print2", "n_shingles", F.coalesce("_second", "_first").alias("_group"))
-    out = sketched.drop("sketch").join(final, ["print1", "print2", "n_shingles"], "left")
+    keys = ["print1", "print2", "n_shingles"]
+    out = sketched.select("doc_id", F.col("n_shingles").alias("_own"), *[F.coalesce(f"_least.{c}", c).alias(c) for c in keys])
+    out = out.join(final, keys, "left").drop("n_shingles").withColumnRenamed("_own", "n_shingles")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("_group", "doc_id"))
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))

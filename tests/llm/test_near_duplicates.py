@@ -111,3 +111,26 @@ def test_registers_estimate_similarity_and_merge():
 def test_other_words_do_not_link(spark, shared, thue_morse):
     df = spark.createDataFrame(list(enumerate(thue_morse)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df).collect()} == {0: 0, 1: 1}
+
+
+def test_an_id_with_different_texts_is_one_document(spark, shared, monkeypatch):
+    monkeypatch.setattr(nd, "TILE_BYTES", 400)  # few sets at once
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(5, one), (5, two), (6, one), (7, two), (8, three), (5, one), (3, three + " more"), (9, None), (9, three)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {(r["doc_id"], r["component_id"]) for r in found}
+    assert len(found) == len(rows) and (9, 9) in groups  # a row without a set links with nothing
+    group = dict(groups - {(9, 9)})
+    assert sorted(group) == [3, 5, 6, 7, 8, 9] and len(groups) == 7  # otherwise one group for each id
+    assert group[3] == group[8] == group[9] == 3 and group[5] == 5
+    assert sorted((group[6], group[7])) in ([5, 6], [5, 7])  # id 5 is linked by one of its texts
+
+
+def test_sets_of_any_size_travel_in_bounded_tiles(spark, shared, monkeypatch):
+    monkeypatch.setattr(nd, "TILE_BYTES", 2000)
+    monkeypatch.setattr(nd, "LUMP_BYTES", 3000)
+    rng = random.Random(9)
+    rows = list(enumerate(corpus(rng, 80)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in nd.near_duplicates(df, 4, 80).collect()}
+    assert found == by_hand(rows, 4, 80)
