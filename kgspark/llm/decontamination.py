@@ -130,21 +130,19 @@ def _best_windows(hits: DataFrame, there: DataFrame) -> DataFrame:
     return met.select("key", "words", (-F.col("b.s")).alias("start"))
 
 
-def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """Items found in documents: doc_id, item_id, start_word, similarity, one row per document and item.
+def _found(df: DataFrame, items: DataFrame, threshold: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Suspect rows (doc_id, key, text_key), and the best window of each text and item (key, item_id, b).
 
-    Of several such windows the most similar is reported; of equals one where a shared run has the same place
-    in both, then the first. Case and punctuation do not count.
-    NULL and empty texts and items hold nothing; items of fewer than SIZE words take no part, since words
-    so few occur by chance; a text shorter than an item is one window. Repeated rows of a document give
-    one row, rows without an id are reported with NULL. Equal items are reported each. Empty tables give
-    no rows, other columns are ignored.
+    ``key`` names the words of a text, ``text_key`` the text itself.
     """
     runs = cut_lineage(item_runs(items.dropDuplicates(["item_id", "text"])))
     docs = df.select("doc_id", "text", words_of("text").alias("words"))
     docs = docs.withColumn("key", F.sha2(F.concat_ws(" ", "words"), 256))
-    found = _suspects(docs, probe_words(runs, threshold)).select("doc_id", "key", F.size("words").alias("length"), runs_of("words").alias("runs"))
+    found = _suspects(docs, probe_words(runs, threshold)).select(
+        "doc_id", "key", F.sha2("text", 256).alias("text_key"), F.size("words").alias("length"), runs_of("words").alias("runs")
+    )
     found = cut_lineage(found)
+
     texts = found.groupBy("key").agg(F.first("length").alias("length"), F.first("runs").alias("runs"))  # copies once
     texts = cut_lineage(texts)
     there = runs.groupBy("item_id", "words", "run").agg(F.count(F.lit(1)).alias("m"))
@@ -171,13 +169,27 @@ def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ra
     )
     either = F.col("here") + F.col("words") - (SIZE - 1) - F.col("both")
     alike = common.withColumn("similarity", F.col("both") / either).where(F.col("similarity") >= threshold)
-    best = alike.groupBy("key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("b"))
+    return found, alike.groupBy("key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"))).alias("b"))
+
+
+def find_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """Items found in documents: doc_id, item_id, start_word, similarity, one row per document and item.
+
+    Of several such windows the most similar is reported; of equals one where a shared run has the same place
+    in both, then the first. Case and punctuation do not count.
+    NULL and empty texts and items hold nothing; items of fewer than SIZE words take no part, since words
+    so few occur by chance; a text shorter than an item is one window. Repeated rows of a document give
+    one row, rows without an id are reported with NULL. Equal items are reported each. Empty tables give
+    no rows, other columns are ignored.
+    """
+    found, best = _found(df, items, threshold, radius)
     named = found.select("doc_id", "key").distinct().join(best, "key")
     out = named.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return out.select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), F.col("b.similarity").alias("similarity"))
 
 
 def without_items(df: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` without the documents that hold an item. Rows without an id cannot be named and stay."""
-    hits = find_items(df, items, threshold).select("doc_id").distinct()
-    return df.join(hits, "doc_id", "left_anti").select(df.columns)
+    """``df`` without the rows whose text holds an item. Rows go by their texts, whether they have or share an id or not."""
+    found, best = _found(df, items, threshold, RADIUS)
+    hits = found.join(best.select("key").distinct(), "key", "left_semi").select("text_key").distinct()
+    return df.join(hits, F.sha2(df["text"], 256) == hits["text_key"], "left_anti")

@@ -123,3 +123,12 @@ def test_insertions_and_changed_ends_are_found(spark, shared):
     want = by_hand(docs, items, 0.8)
     assert (0, 0) in {(d, i) for d, i, _ in want}  # 0.778 at both places where runs are in line, 0.8045 in between
     assert found(spark, docs, items) == want
+
+
+def test_rows_go_by_their_texts_and_not_by_their_ids(spark, shared):
+    item = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(None, f"before {item} after"), (None, "an innocent text without an id"), (4, f"{item}"), (4, "shares its id"), (5, None), (6, "")], "doc_id long, text string"
+    )
+    left = dc.without_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(None, "an innocent text without an id"), (4, "shares its id"), (5, None), (6, "")]))
