@@ -39,3 +39,10 @@ def test_stages_take_empty_tables_and_hard_cases(spark, edge, none, shared):
         assert stage(spark, edge, SMALL).count() >= 0, name
     once = corpus_pipeline.deduplicate(spark, edge, SMALL).collect()
     assert sorted(r["doc_id"] for r in once) == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_other_texts_of_an_id_stay(spark, shared):
+    rows = [(1, "one text of the first id", "b"), (1, "another text of the first id", "a"), (1, "one text of the first id", "a"), (2, "something else", "c"), (None, "no id", "d"), (None, "no id", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = sorted(map(str, map(tuple, corpus_pipeline.deduplicate(spark, df, SMALL).collect())))
+    assert left == sorted(map(str, [rows[1], rows[2], *rows[3:]]))
