@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kgspark.llm import decontamination, line_quality, near_duplicates, packing, secret_scan
 from kgspark.llm.common import crc_of_id, read, work_folder
@@ -24,13 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near duplicates (five words, 0.8), and one row of each id."""
+    """Keeps the smallest id of every group of near duplicates (five words, 0.8), and equal rows of an id once.
+
+    Rows that share an id but not a text both stay where their id stays. Of rows with equal id and text the
+    least in all columns stays.
+    """
     found = near_duplicates.near_duplicates(docs, size=5, per_cent=80)
     docs = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    same = [F.col("doc_id"), F.xxhash64("text").alias("_text")]
+    repeated = docs.where("doc_id IS NOT NULL").groupBy(*same).count().where("count > 1").select("doc_id").distinct()
     if not repeated.limit(1).count():
         return docs
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(repeated, "doc_id", "left_semi").select(F.struct(docs.columns).alias("_row"))
+    once = rows.groupBy("_row.doc_id", "_row.text").agg(F.min("_row").alias("_row")).select("_row.*")
     return docs.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
