@@ -17,9 +17,9 @@ from kgspark.llm.arrays import IS_SPACE, distinct, row_runs, split_words, text_b
 
 RUN_BYTES = 2 << 20
 JOINED = 2_000  # units per text that goes to the library
-KNOWN_BYTES = 64 << 20  # per worker; what is kept only saves encoding it again
+KNOWN_BYTES = 80 << 20  # per worker; what is kept only saves encoding it again
 KNOWN_UNIT = 64  # bytes of the longest unit kept
-KNOWN_COST = 120  # bytes that an entry takes beside its unit
+KNOWN_COST = 140  # bytes that an entry takes beside its unit
 #: White space beyond ASCII's, as UTF-8, and the ASCII separators that some patterns count as white space.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
@@ -28,15 +28,12 @@ _ODD_LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Known:
-    """Ids of units met before, by their bytes. Starts anew when it holds KNOWN_BYTES; longer units stay outside."""
+    """Ids of units met before, by their bytes, until KNOWN_BYTES are held: frequent units come early."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.place = np.zeros(1 << 12, np.int64)  # where the ids begin in the pool
-        self.size = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = self.held = 0
 
@@ -53,7 +50,7 @@ class Known:
 
     def add(self, units: list[bytes], pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         if self.held > KNOWN_BYTES:
-            self.clear()
+            return
         some = [i for i, u in enumerate(units) if len(u) <= KNOWN_UNIT]
         n, first = len(some), len(self.number)
         self.number.update(zip([units[i] for i in some], range(first, first + n)))
