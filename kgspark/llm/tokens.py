@@ -16,7 +16,7 @@ import pyarrow as pa
 from kgspark.llm.arrays import IS_SPACE, distinct, row_runs, split_words, text_bytes
 
 RUN_BYTES = 2 << 20
-JOINED = 2_000  # units per text that goes to the library
+JOINED = 500  # units per text that goes to the library
 KNOWN_BYTES = 80 << 20  # per worker; what is kept only saves encoding it again
 KNOWN_UNIT = 64  # bytes of the longest unit kept
 KNOWN_COST = 140  # bytes that an entry takes beside its unit
