@@ -45,6 +45,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 2_000  # the dictionary's training sample
 SAMPLE_CHARS = 20_000  # of each of them, from a place set by its hash; the dictionary only decides about sizes
 BLOCK_TOKENS = 1 << 20
+RUN_BYTES = 5 << 20  # text encoded at once
 
 BLOCKS = (
     "part int, block int, documents int, first_id long, last_id long, tokens_before long, tokens long, "
@@ -148,7 +149,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, spaces: bool, end_id: in
 
         for batch in batches:
             numbers = batch.column(0).to_pylist()
-            for i, found in encode_rows(batch.column(1), path, spaces, end_id):
+            for i, found in encode_rows(batch.column(1), path, spaces, end_id, RUN_BYTES):
                 doc_ids.append(numbers[i])
                 ids.append(found)
                 held += len(found)

@@ -175,9 +175,9 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _encoders[path, spaces]
 
 
-def encode_rows(column: pa.Array, path: str, spaces: bool, end_id: int):
-    """For each row of ``column``: its number and its ids, followed by ``end_id``."""
-    for low, high in row_runs(column, RUN_BYTES):
+def encode_rows(column: pa.Array, path: str, spaces: bool, end_id: int, run_bytes: int = RUN_BYTES):
+    """For each row of ``column``: its number and its ids, followed by ``end_id``. Longer runs repeat more units."""
+    for low, high in row_runs(column, run_bytes):
         ids, first = encoder(path, spaces).encode(column.slice(low, high - low))
         for i in range(high - low):
             yield low + i, np.append(ids[first[i]:first[i + 1]], np.uint32(end_id))
