@@ -63,7 +63,9 @@ _HEADED = rf"""
    sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER w AS section,
    sum(CASE WHEN lv > 0 OR NOT regexp_matches(line, '{P.NOT_WS}') THEN 1 ELSE 0 END) OVER w AS b
    FROM hd WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)),
- pt AS (SELECT *, concat_ws(' / ', t1, CASE WHEN n2 > coalesce(n1, 0) THEN t2 END, CASE WHEN n3 > coalesce(n1, 0) AND n3 > coalesce(n2, 0) THEN t3 END) AS path FROM st)"""
+ pt AS (SELECT *, concat_ws(' / ', t1, CASE WHEN n2 > coalesce(n1, 0) THEN t2 END, CASE WHEN n3 > coalesce(n1, 0) AND n3 > coalesce(n2, 0) THEN t3 END) AS path,
+   concat_ws(chr(10), '# ' || t1, CASE WHEN n2 > coalesce(n1, 0) THEN '## ' || t2 END, CASE WHEN n3 > coalesce(n1, 0) AND n3 > coalesce(n2, 0) THEN '### ' || t3 END) AS prefix,
+   coalesce(t1, t2, t3, '') AS top FROM st)"""
 
 
 @query(
@@ -79,37 +81,57 @@ def c3(spark, sf):
     return _hashed(u, "unit_id", "path", "line_start", "line_end")
 
 
-@query(
-    "C4_markdown_sections",
-    f"""WITH {_HEADED}, se AS (SELECT doc_id, section, arg_min(path, no) AS path, max(CASE WHEN lv > 0 THEN {S.strip("line")} END) AS head,
+_SECTIONS = f"""{_HEADED}, se AS (SELECT doc_id, section, arg_min(path, no) AS path, arg_min(prefix, no) AS prefix, max(CASE WHEN lv > 0 THEN {S.strip("line")} END) AS head,
       coalesce(string_agg(CASE WHEN lv = 0 THEN line END, chr(10) ORDER BY no), '') AS body FROM pt GROUP BY ALL),
-    tx AS (SELECT doc_id, section, path, {S.strip("CASE WHEN head IS NULL THEN body WHEN regexp_matches(body, '" + P.NOT_WS + "') THEN head || chr(10) || chr(10) || regexp_replace(body, '^(" + P.WS + "*\\n)+', '') ELSE head END")} AS t FROM se)
-    SELECT doc_id, CAST(section AS BIGINT) AS section, path, md5(t) AS content_hash FROM tx WHERE t <> '' OR section > 0""",
-)
+    tx AS (SELECT doc_id, section, path, prefix, {S.strip("CASE WHEN head IS NULL THEN body WHEN regexp_matches(body, '" + P.NOT_WS + "') THEN head || chr(10) || chr(10) || regexp_replace(body, '^(" + P.WS + "*\\n)+', '') ELSE head END")} AS t FROM se),
+    sx AS (SELECT * FROM tx WHERE t <> '' OR section > 0)"""
+
+
+@query("C4_markdown_sections", f"WITH {_SECTIONS} SELECT doc_id, CAST(section AS BIGINT) AS section, path, md5(t) AS content_hash FROM sx")
 def c4(spark, sf):
     s = C.markdown_sections(_markdown(spark, sf))
     return s.select("doc_id", "section", F.array_join("path.title", " / ").alias("path"), F.md5("text").alias("content_hash"))
 
 
-@query("C5_hierarchical_chunks")
+_HEADED_PIECE = "CASE WHEN prefix = '' OR {0} = '' OR starts_with({0}, prefix) THEN {0} ELSE prefix || chr(10) || chr(10) || {0} END"
+
+
+@query(
+    "C5_hierarchical_chunks",
+    f"""WITH {_SECTIONS},
+    cx AS (SELECT doc_id, section, prefix, {_HEADED_PIECE.format("t")} AS parent, {S.visible("list_transform(" + S.guarded_split("t", C.SEPARATORS, 400, 50) + ", lambda y: " + S.strip("y") + ")")} AS l FROM sx),
+    ux AS (SELECT doc_id, section, prefix, parent, l[1] AS first, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM cx),
+    hx AS (SELECT doc_id, section, i, CASE WHEN parent <> '' THEN parent ELSE {_HEADED_PIECE.format("first")} END AS parent, {_HEADED_PIECE.format("piece")} AS content FROM ux)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, i) - 1 AS INT) AS chunk_order_index, CAST(len(regexp_extract_all(content, '{P.SPACED_WORD}')) AS INT) AS tokens,
+      'parent-' || md5(parent) AS parent_id, md5(content) AS content_hash FROM hx""",
+)
 def c5(spark, sf):
     rows = C.hierarchical_chunks(_markdown(spark, sf), 400, 50)
     return _hashed(rows, "chunk_order_index", "tokens", "parent_id")
 
 
-@query("C6_pack_segments")
+def _pieces_sql(pieces: str, source: str = "documents") -> str:
+    return f"""SELECT doc_id, CAST(i - 1 AS INT) AS pos, md5(c) AS content_hash FROM
+      (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {pieces} AS l FROM {source}))"""
+
+
+@query("C6_pack_segments", _pieces_sql(S.pack("string_split(text, chr(10))", "chr(10)", 600)))
 def c6(spark, sf):
     packed = C.pack(F.split("text", "\n", -1), "\n", 600)
     return D.docs(spark, sf).select("doc_id", F.posexplode(packed).alias("pos", "content")).transform(_hashed, "pos")
 
 
-@query("C7_smart_split")
+@query("C7_smart_split", _pieces_sql(S.smart_split("text", C.SEPARATORS, 300, 40), f"(SELECT doc_id, {_PARAGRAPHS} AS text FROM documents)"))
 def c7(spark, sf):
     pieces = C.smart_split(F.col("text"), 300, 40)
     return _paragraphs(spark, sf).select("doc_id", F.posexplode(pieces).alias("pos", "content")).transform(_hashed, "pos")
 
 
-@query("C8_table_guarded_split")
+_TABLES_SQL = r"""(SELECT doc_id, regexp_replace(text, '\. ([A-Z][^.\n]*)\.',
+  '. <table><tr><td>k</td><td>v</td></tr><tr><td>\1</td><td>x</td></tr></table> ', 'g') AS text FROM documents)"""
+
+
+@query("C8_table_guarded_split", _pieces_sql(S.guarded_split("text", C.SEPARATORS, 300, 40), _TABLES_SQL))
 def c8(spark, sf):
     pieces = C.table_guarded_split(F.col("text"), 300, 40)
     return _tables(spark, sf).select("doc_id", F.posexplode(pieces).alias("pos", "content")).transform(_hashed, "pos")
@@ -215,7 +237,7 @@ def c15(spark, sf):
     )
 
 
-@query("C16_sticky_tables")
+@query("C16_sticky_tables", _pieces_sql(S.sticky_tables("text", 120), _TABLES_SQL))
 def c16(spark, sf):
     pieces = C.sticky_tables(F.col("text"), 120)
     return _tables(spark, sf).select("doc_id", F.posexplode(pieces).alias("pos", "content")).transform(_hashed, "pos")
@@ -262,6 +284,15 @@ def c20(spark, sf):
 
 @query(
     "C21_assign_parents",
+    f"""WITH RECURSIVE {_HEADED}, bl AS (SELECT doc_id, b, lv > 0 AS head, min(no) AS line_start, arg_min(top, no) AS top,
+      {S.strip("string_agg(line, chr(10) ORDER BY no)")} AS body FROM pt WHERE regexp_matches(line, '{P.NOT_WS}') GROUP BY ALL),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) AS pos FROM bl),
+    u AS (SELECT doc_id, pos, top, {S.token_count("body")} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM nu WHERE NOT head),
+    g AS (SELECT doc_id, pos, top, r, n AS total, 1 AS no FROM u WHERE r = 1 UNION ALL
+      SELECT doc_id, pos, top, r, CASE WHEN fresh THEN n ELSE before + n END, CASE WHEN fresh THEN no + 1 ELSE no END FROM
+      (SELECT u.*, g.total AS before, g.no, g.total >= 1500 OR u.top <> g.top OR (g.total + u.n > 1500 AND g.total >= 800) AS fresh
+       FROM g JOIN u ON u.doc_id = g.doc_id AND u.r = g.r + 1))
+    SELECT doc_id, CAST(pos AS INT) AS pos, doc_id || '-p' || lpad(CAST(no AS VARCHAR), CAST(greatest(4, len(CAST(no AS VARCHAR))) AS INT), '0') AS parent_id FROM g""",
 )
 def c21(spark, sf):
     units = C.markdown_units(_markdown(spark, sf)).filter("unit_type = 'text'")

@@ -29,6 +29,49 @@ def contains_any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
+_MARK, _CUT = "chr(57345)", "chr(57344)"  # private-use marks between segments and at cuts
+_LAST = f"string_split(a, {_MARK})[-1]"
+
+
+def _segments(parts: str, fits: str, sep: str) -> str:
+    """Fold of a list into one string of marked segments; ``p`` joins the last one where ``fits``."""
+    step = f"CASE WHEN {_LAST} = '' THEN a || p WHEN {fits} THEN a || {sep} || p ELSE a || {_MARK} || p END"
+    return f"list_filter(string_split(list_reduce({parts}, lambda a, p: {step}, ''), {_MARK}), lambda f: f <> '')"
+
+
+def pack(parts: str, sep: str, limit: int) -> str:
+    return _segments(parts, f"len({_LAST}) + len({sep}) + len(p) <= {limit}", sep)
+
+
+def visible(pieces: str) -> str:
+    return f"list_filter({pieces}, lambda v: regexp_matches(v, '{P.NOT_WS}'))"
+
+
+def smart_split(x: str, separators: tuple[str, ...], limit: int, overlap: int) -> str:
+    pieces = f"[{x}]"
+    for k, sep in enumerate(separators):
+        quoted = "'" + sep.replace("\n", "' || chr(10) || '") + "'"
+        finer = pack(f"string_split(s{k}, {quoted})", f"({quoted})", limit)
+        pieces = f"flatten(list_transform({pieces}, lambda s{k}: CASE WHEN len(s{k}) <= {limit} THEN [s{k}] ELSE {finer} END))"
+    step = limit - overlap
+    windows = f"list_transform(range(0, CAST(ceil((len(h) - {limit}) / {step}.0) AS BIGINT) + 1), lambda i: substr(h, i * {step} + 1, {limit}))"
+    return visible(f"flatten(list_transform({pieces}, lambda h: CASE WHEN len(h) <= {limit} THEN [h] ELSE {windows} END))")
+
+
+def guarded_split(x: str, separators: tuple[str, ...], limit: int, overlap: int) -> str:
+    marked = f"regexp_replace({x}, '(?s)(<table>.*?</table>)', {_CUT} || '\\1' || {_CUT}, 'g')"
+    parts = visible(f"string_split({marked}, {_CUT})")
+    whole = "starts_with(t, '<table>') AND ends_with(t, '</table>')"
+    return f"flatten(list_transform({parts}, lambda t: CASE WHEN {whole} THEN [t] ELSE {smart_split('t', separators, limit, overlap)} END))"
+
+
+def sticky_tables(x: str, limit: int) -> str:
+    marked = f"regexp_replace({x}, '(?s)(<table>.*?</table>)', '\\1' || {_CUT}, 'g')"
+    parts = visible(f"list_transform(string_split({marked}, {_CUT}), lambda t: {strip('t')})")
+    words = lambda y: f"len(regexp_extract_all({y}, '{P.SPACED_WORD}'))"
+    return _segments(parts, f"{words(_LAST)} + {words('p')} <= {limit}", "chr(10) || chr(10)")
+
+
 BM25 = f"""
  dtok AS (SELECT doc_id, {tokens("text")} AS toks FROM documents),
  dlen AS (SELECT doc_id, len(toks) AS dl FROM dtok),
