@@ -205,18 +205,41 @@ def latest(rows: DataFrame, order: str, limit: int) -> DataFrame:
     return rows.orderBy(F.col(order).desc()).limit(min(200, max(1, limit)))
 
 
-def fingerprint(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
-    """Order-free hash of a set of items per key: hashes of hashes over a tree of fixed fan-out.
+_LANES = ("h1", "h2", "h3", "h4")
+_RING = 2**60  # a lane holds 15 hexadecimal digits
+
+
+def _summed(rows: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    ring = F.lit(_RING).cast("decimal(38,0)")
+    sums = [F.pmod(F.sum(lane), ring).cast("decimal(28,0)").alias(lane) for lane in _LANES]
+    return rows.groupBy(*keys).agg(F.sum(n).alias("n"), *sums)
 
-    No group ever holds more than a 65536th of a key, then 256 hashes.
+
+def multiset_state(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
+    """Hash of a multiset of items per key as sums of wide hashes: (keys, n, h1…h4).
+
+    Sums do not depend on order, are combined before the shuffle and can be updated: see ``changed_state``.
+    A NULL item counts as an item of its own.
     """
-    leaf = rows.select(*keys, F.sha2(item, 256).alias("h"))
-    for digits in (4, 2, 0):
-        cell = F.substring("h", 1, digits) if digits else F.lit("")
-        grouped = leaf.groupBy(*keys, cell.alias("_cell")).agg(F.array_sort(F.collect_list("h")).alias("_h"))
-        hashed = F.sha2(F.array_join("_h", "\n"), 256)
-        leaf = grouped.select(*keys, F.concat("_cell", hashed).alias("h") if digits else hashed.alias("h"))
-    return leaf.select(*keys, F.substring("h", 1, 16).alias("fingerprint"))
+    digest = rows.select(*keys, F.sha2(F.coalesce(F.concat(F.lit("+"), item), F.lit("-")), 256).alias("_h"))
+    number = lambda k: F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(28,0)")
+    return _summed(digest.select(*keys, *[number(k).alias(lane) for k, lane in enumerate(_LANES)]), keys, F.lit(1).cast("long"))
+
+
+def changed_state(state: DataFrame, added: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """A stored state with the states of added and removed items worked in; keys left without items go."""
+    less = removed.select(*keys, (-F.col("n")).alias("n"), *[(-F.col(lane)).alias(lane) for lane in _LANES])
+    return _summed(state.unionByName(added).unionByName(less), keys, F.col("n")).filter("n <> 0")
+
+
+def state_fingerprint(state: DataFrame, keys: list[str]) -> DataFrame:
+    parts = F.concat_ws("-", *[F.col(c).cast("string") for c in ("n", *_LANES)])
+    return state.select(*keys, F.substring(F.sha2(parts, 256), 1, 16).alias("fingerprint"))
+
+
+def fingerprint(rows: DataFrame, keys: list[str], item: Column) -> DataFrame:
+    """Order-free hash of all items per key."""
+    return state_fingerprint(multiset_state(rows, keys, item), keys)
 
 
 def corpus_revision(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -318,12 +318,29 @@ def d10(spark, sf):
     return D2.latest(v.select("version_id", "document_id"), "version_id", 500)
 
 
-@query("D11_kb_fingerprint")
+_STATE = """SELECT lang, count(*) AS n, {} FROM (SELECT lang, sha256('+' || concat_ws(':', doc_id, n_chars, md5(text))) AS h FROM documents {}) GROUP BY lang""".format(
+    ", ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT) % 1152921504606846976 AS h{k + 1}" for k in range(4)), "{}"
+)
+_PRINT = f"SELECT lang, substr(sha256(concat_ws('-', n, h1, h2, h3, h4)), 1, 16) AS fingerprint FROM ({_STATE})"
+
+
+@query("D11_kb_fingerprint", _PRINT.format(""))
 def d11(spark, sf):
     d = read(spark, sf, "documents")
     return D2.fingerprint(d, ["lang"], F.concat_ws(":", "doc_id", "n_chars", F.md5("text")))
 
 
+@query("D11_fingerprint_update", _PRINT.format("WHERE doc_id % 3 <> 0"))
+def d11_update(spark, sf):
+    """The fingerprint of two thirds of the documents, from the state of others by adding and removing."""
+    d = read(spark, sf, "documents")
+    state = lambda rows: D2.multiset_state(rows, ["lang"], F.concat_ws(":", "doc_id", "n_chars", F.md5("text")))
+    third = _c("doc_id") % 3
+    return D2.state_fingerprint(
+        D2.changed_state(state(d.where(third != 1)), state(d.where(third == 1)), state(d.where(third == 0)), ["lang"]), ["lang"]
+    )
+
+
 @query(
     "D11_corpus_revision",
     f"""WITH {_PIECES} SELECT doc_id, substr(sha256(string_agg('chunk-' || md5(content), chr(10) ORDER BY md5(content))), 1, 16) AS revision FROM pc GROUP BY doc_id""",
