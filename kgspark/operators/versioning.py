@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kgspark.functions import ids
 from kgspark.functions import patterns as P
 from kgspark.functions.text import squash
 
-from .scale import next_value, previous_row
+from .scale import cut_lineage, next_value, previous_row
 
 # Fixed values.
 SIMILAR, SAME_PLACE, MOVED = 0.48, 0.25, 0.85
 DIFF_LABELS = {"delete": "删除", "insert": "新增"}
 KINDS = ("unchanged", "added", "modified", "deleted", "moved")
+# end of fixed values
+LETTERS = 128  # classes of characters in the bound of a matching share
 
 
 def decorate(chunks: DataFrame, document: str = "doc_id") -> DataFrame:
@@ -37,25 +39,73 @@ def structure_hash(units: DataFrame, columns: list[str], order: str, id_col: str
     return rows.select(id_col, F.sha2(F.array_join("_u.l", "\n"), 256).alias("structure_hash"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching share of two texts as the standard library's sequence matcher gives it."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often the characters of each text fall into each of LETTERS classes."""
+    counts = np.zeros((len(texts), LETTERS), np.int32)
+    for row, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts[row] = np.bincount(codes % LETTERS, minlength=LETTERS)
+    return counts
 
 
-def _first_come(keys: list[str]):
-    """Matching rule over scored pairs of one document: new chunks choose in their order, each the best
-    old chunk nobody has; of equals the earlier one."""
+class _Ratios:
+    """Matching share of old texts with new ones as the standard library's sequence matcher gives it.
 
-    def choose(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.sort_values(["new_pos", "score", "old_pos"], ascending=[True, False, True])
-        settled, used, rows = set(), set(), []
-        for at, (new, old) in enumerate(zip(pairs["new_pos"], pairs["old_pos"])):
-            if new not in settled and old not in used:
-                settled.add(new)
-                used.add(old)
-                rows.append(at)
-        return pairs.iloc[rows]
+    Equal pairs of texts are compared once. ``bounds`` are never below the shares: no more characters
+    match than both texts have in common.
+    """
+
+    def __init__(self, old: list[str]):
+        self.texts = list(dict.fromkeys(old))
+        number = {text: i for i, text in enumerate(self.texts)}
+        self.of = np.array([number[text] for text in old], np.int64)
+        self.letters, self.sizes = _letters(self.texts), np.array([len(t) for t in self.texts], np.int64)
+        self.matcher, self.known, self.new = SequenceMatcher(None), {}, None
+
+    def bounds(self, new: str) -> np.ndarray:
+        common = np.minimum(self.letters, _letters([new])).sum(1)
+        total = self.sizes + len(new)
+        return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)[self.of]
+
+    def share(self, old: int, new: str) -> float:
+        pair = (self.of[old], new)
+        if pair not in self.known:
+            if self.new != new:
+                self.matcher.set_seq2(new)
+                self.new = new
+            self.matcher.set_seq1(self.texts[pair[0]])
+            self.known[pair] = self.matcher.ratio()
+        return self.known[pair]
+
+
+def _first_come(names: list[str]):
+    """Matching rule over what is left of one document: new chunks choose in their order, each the best old
+    chunk nobody has; of equals the earlier one. A text is compared only where its bound can still win."""
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("old_pos"), right.sort_by("new_pos")
+        anchors, rows = np.array(left.column("_a").to_pylist(), object), []
+        free = np.ones(left.num_rows, bool)
+        ratios = _Ratios(left.column("_old").to_pylist())
+        for at, (new, anchor) in enumerate(zip(right.column("_new").to_pylist(), right.column("_b").to_pylist())):
+            stays = anchors == anchor
+            bound = ratios.bounds(new) + np.where(stays, SAME_PLACE, 0.0) + 1e-9
+            possible = np.flatnonzero(free & (bound >= SIMILAR))
+            best, place = -1.0, -1
+            for old in possible[np.argsort(-bound[possible], kind="stable")]:
+                if bound[old] < best:
+                    break
+                score = ratios.share(old, new) + (SAME_PLACE if stays[old] else 0.0)
+                if score >= SIMILAR and (score > best or (score == best and old < place)):
+                    best, place = score, old
+            if place >= 0:
+                free[place] = False
+                rows.append((at, place, bool(stays[place]), best))
+        mine = pa.array([r[0] for r in rows], pa.int64())
+        kept = [right.column(name).combine_chunks().take(mine) for name in names[:-4]]
+        old = left.column("old_pos").combine_chunks().take(pa.array([r[1] for r in rows], pa.int64()))
+        new = right.column("new_pos").combine_chunks().take(mine)
+        return pa.table([*kept, old, new, pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.float64())], names=names)
 
     return choose
 
@@ -94,11 +144,11 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     body = squash(F.col("content"))
     left = a.select(*keys, F.col("pos").cast("long").alias("old_pos"), F.col("anchor").alias("_a"), body.alias("_old"))
     right = b.select(*keys, F.col("pos").cast("long").alias("new_pos"), F.col("anchor").alias("_b"), body.alias("_new"))
-    same_place = F.col("_a") == F.col("_b")
-    score = _ratio("_old", "_new") + F.when(same_place, SAME_PLACE).otherwise(0.0)
-    pairs = left.join(right, keys).select(*keys, "old_pos", "new_pos", same_place.alias("stays"), score.alias("score"))
-    pairs = pairs.filter(F.col("score") >= SIMILAR)  # weaker pairs are never chosen
-    chosen = pairs.groupBy(*keys).applyInPandas(_first_come(keys), pairs.schema)
+    names = [*keys, "old_pos", "new_pos", "stays", "score"]
+    kinds = [f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    # Compared once, read for three kinds of change.
+    chosen = cut_lineage(met.applyInArrow(_first_come(names), ", ".join([*kinds, "old_pos long", "new_pos long", "stays boolean", "score double"])))
     moved = ~F.col("stays") & (F.col("score") >= MOVED)
     paired = chosen.select(
         *keys, F.when(moved, "moved").otherwise("modified").alias("kind"), "old_pos", "new_pos", F.round("score", 6).alias("similarity")
