@@ -51,3 +51,13 @@ def test_revised_texts_are_not_compared_with_all_others(monkeypatch):
     new = [(f"n{i}", t + " revised 42") for i, (_, t) in enumerate(old)]
     assert [(o, n) for o, n, _, _ in matched(old, new)] == [(i, i) for i in range(150)]
     assert len(calls) < 150 * 150 / 20
+
+
+def test_summary_counts_kinds_without_scoring_all_pairs(spark):
+    """Long versions: the summary follows from the same matching."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(50)) for _ in range(400)]
+    frame = lambda rows: D.decorate(spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "doc_id INT, pos INT, content STRING"))
+    new = [t + " revised 42" for t in lines[:200]] + lines[200:390]
+    row = D.change_summary(D.compare(frame(lines), frame(new)), ["doc_id"]).first().asDict()
+    assert row == {"doc_id": 1, "unchanged": 190, "added": 0, "modified": 200, "deleted": 10, "moved": 0, "changed": 210}
