@@ -30,6 +30,9 @@ ROUNDS = 12
 BLOCK = 4096  # vectors stored in one row
 GROUP = 256  # queries that visit a block together
 BANDS, BITS = 128, 10  # at cosine 0.8 a pair shares no band once in 700,000 cases
+CLASS_GROUP = 2048  # vectors of a band that meet in one group, about
+SIGNED = 2048  # vectors whose buckets leave together
+PRODUCTS = 4_000_000  # cosines worked out together
 _DIGITS = 10
 
 
@@ -182,36 +185,63 @@ def similar_pairs(vectors: DataFrame, threshold: float, most: int, bands: int =
 
     A pair is compared if the signs of all directions of some band agree; ties go to the smaller id.
     """
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"  # both without loss
     good = fitting(vectors).select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     key = F.sha2(F.concat_ws(",", F.transform("e", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
     good = good.where(F.exists("e", lambda x: x != 0))  # a vector of zeros is like none
-    named = cut_lineage(good.select("doc_id", key.alias("c"), "e"))
-    classes = written(named.groupBy("c").agg(F.first("e").alias("e")))
+    named = cut_lineage(good.select("doc_id", key.alias("h"), "e"))
+    classes = named.groupBy("h").agg(F.first("e").alias("e"), F.min("doc_id").alias("first"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
+    named = cut_lineage(named.join(classes.select("h", "c"), "h").select("doc_id", "c"))
+    share = max(0, min(bits, (classes.count() // CLASS_GROUP).bit_length()))  # leading bits of a key that part a band
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
             for dims in np.unique(sizes).tolist():
                 if dims not in planes:
                     planes[dims] = np.random.default_rng([seed, dims]).standard_normal((dims, bands * bits))
-                rows = np.flatnonzero(sizes == dims)
-                signs = unit(batch.column(1).take(pa.array(rows)), dims) @ planes[dims] > 0
-                keys = signs.reshape(len(rows), bands, bits) @ (1 << np.arange(bits))
-                keys += np.arange(bands) << bits
-                n = pa.array(np.repeat(rows, bands))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(n), pa.array(np.full(len(n), dims, np.int32)), pa.array(keys.ravel().astype(np.int64))], ["c", "dims", "bucket"])
-
-    signed = written(classes.mapInArrow(sign, "c string, dims int, bucket long"))
-    left, right = signed.withColumnRenamed("c", "a"), signed.withColumnRenamed("c", "b")
-    pairs = left.join(right, ["dims", "bucket"]).where("a < b").select("a", "b").distinct()
-    ends = [classes.select(F.col("c").alias(n), F.col("e").alias(f"_{n}")) for n in ("a", "b")]
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norms = [F.sqrt(F.aggregate(f"_{n}", F.lit(0.0), lambda s, x: s + x * x)) for n in ("a", "b")]
-    met = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("score", F.round(dot / (norms[0] * norms[1]), _DIGITS))
-    met = met.where(F.col("score") >= threshold).select("a", "b", "score")
+                mine = np.flatnonzero(sizes == dims)
+                for low in range(0, len(mine), SIGNED):
+                    rows = mine[low:low + SIGNED]
+                    column = batch.column(2).take(pa.array(rows))
+                    keys = ((unit(column, dims) @ planes[dims] > 0).reshape(len(rows), bands, bits) @ (1 << np.arange(bits))).ravel()
+                    raw = pa.array([r.tobytes() for r in column.flatten().to_numpy().reshape(len(rows), dims).astype(kind)], pa.binary())
+                    n, band = np.repeat(np.arange(len(rows)), bands), np.tile(np.arange(bands), len(rows))
+                    yield pa.RecordBatch.from_arrays([
+                        *(batch.column(i).take(pa.array(rows[n])) for i in (0, 1)), pa.array(np.full(len(n), dims, np.int32)),
+                        pa.array(((band << bits) + keys >> bits - share).astype(np.int32)), pa.array(keys.astype(np.int32)), raw.take(pa.array(n)),
+                    ], ["c", "first", "dims", "part", "bucket", "e"])
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        """For each vector its best others of the same bucket, ``most`` + 1 at most; ties to the class with the smaller id."""
+        table = table.sort_by([("bucket", "ascending"), ("first", "ascending")])
+        c, bucket = (table.column(x).to_numpy() for x in ("c", "bucket"))
+        mat = np.frombuffer(b"".join(table.column("e").to_pylist()), kind).astype(np.float64).reshape(len(c), key[0].as_py())
+        mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+        out = [(c[:0], c[:0], mat[:0, 0])]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for low, high in zip(cuts, cuts[1:]):
+            step = max(1, PRODUCTS // (high - low))
+            for top in range(low, high if high - low > 1 else low, step):
+                scores = np.round(mat[top:min(top + step, high)] @ mat[low:high].T, _DIGITS)
+                own = np.arange(len(scores))
+                scores[own, own + top - low] = -2.0
+                row, at = np.nonzero(scores >= threshold)
+                score = scores[row, at]
+                order = np.lexsort((at, -score, row))
+                row, at, score = row[order], at[order], score[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) <= most
+                out.append((c[top + row[kept]], c[low + at[kept]], score[kept]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "score"])
+
+    id_kind = named.schema["doc_id"].dataType.simpleString()
+    signed = classes.select("c", "first", "e").mapInArrow(sign, f"c long, first {id_kind}, dims int, part int, bucket int, e binary")
+    # Vectors meet where they share a bucket; only the best of each leave it.
+    met = signed.groupBy("dims", "part").applyInArrow(meet, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
     own = classes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("score"))
-    both = cut_lineage(met.union(met.select("b", "a", "score")).union(own))
+    both = cut_lineage(met.union(own))
     # The smallest ids of a class are enough: no vector takes more than ``most`` others.
     first = W.partitionBy("c").orderBy("doc_id")
     members = named.select("doc_id", "c").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1).drop("_n")

@@ -59,3 +59,13 @@ def test_similar_pairs_equal_all_pairs(spark, monkeypatch):
         near = sorted(((s, j) for s, j in near if s >= 0.8), key=lambda x: (-x[0], x[1]))[:3]
         want |= {(i, r + 1): (j, round(s, 8)) for r, (s, j) in enumerate(near)}
     assert found == want and len(want) > 500
+
+
+def test_similar_pairs_never_makes_rows_of_all_pairs_in_a_bucket(spark, monkeypatch):
+    plans, cut = [], quantised.cut_lineage
+    monkeypatch.setattr(quantised, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().toString()), cut(df))[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in 1 + 0.01 * rng.standard_normal(8)]) for i in range(300)]  # all in one cluster
+    found = similar_pairs(spark.createDataFrame(rows, "doc_id long, embedding array<double>"), 0.8, 3)
+    assert found.count() == 900
+    assert not any("Join" in line and "bucket" in line for plan in plans for line in plan.splitlines())
