@@ -51,3 +51,28 @@ def test_bm25_of_one_text(spark):
     df = spark.createDataFrame([("red red apple", "red pie red tree")], "q STRING, t STRING")
     got = df.select(single_bm25(F.col("q"), F.col("t")).alias("s")).first()["s"]
     assert got == pytest.approx(2 * math.log(1 + 0.5 / 1.5) * 2 * 2.5 / (2 + 1.5))
+
+
+def test_ablation_searches_once_for_all_variants(spark):
+    from kgspark.operators import evaluation as E
+
+    class Counting(Q.TextIndex):
+        passes = 0
+
+        def lexical(self, queries, k):
+            self.passes += 1
+            return super().lexical(queries, k)
+
+    docs = index(spark).docs
+    asked_of = [(1, "red apple", "k", "", True), (2, "blue和sky", "k", "", True), (3, "zebra", "k", "", False)]
+    questions = spark.createDataFrame(asked_of, "query_id LONG, text STRING, kb_id STRING, owner_id STRING, answerable BOOLEAN")
+    expected = spark.createDataFrame([(1, 1), (2, 3)], "query_id LONG, unit_id LONG")
+    counting = Counting(docs)
+    found = {(r["variant"], r["parents"]): r.asDict() for r in Q.ablation(counting, questions, expected).collect()}
+    assert counting.passes == 1
+    for force in ("single", "subquestions"):
+        hits = Q.staged(Q.TextIndex(docs), questions.select("query_id", "text"), "hybrid", 8, threshold=0.5, force=force)
+        placed = hits.join(docs.select("doc_id", "kb_id", "owner_id"), "doc_id").withColumnRenamed("doc_id", "unit_id")
+        alone = E.metrics(E.question_metrics(questions.drop("text"), expected, placed)).first().asDict()
+        assert alone == {k: v for k, v in found[force, True].items() if k not in ("variant", "parents")}
+    assert len(found) == 6
