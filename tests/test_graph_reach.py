@@ -34,3 +34,19 @@ def test_hashed_embedding_is_the_share_of_each_slot(spark):
             counts[at] = counts.get(at, 0) + 1
         norm = math.sqrt(sum(n * n for n in counts.values()))
         assert {r["slot"]: r["w"] for r in rows if r["doc_id"] == doc} == {s: n / norm for s, n in counts.items()}
+
+
+def test_sparse_product_equals_the_join_and_the_lexical_parts_grow(spark, monkeypatch):
+    from kgspark.operators import lexical, vectors
+
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i % 5} d{i}") for i in range(200)], "doc_id LONG, text STRING")
+    asked = spark.createDataFrame([(i, f"a b{i} c{i}") for i in range(5)], "query_id LONG, text STRING")
+    sides = hashed_embedding(docs, "doc_id"), hashed_embedding(asked, "query_id")
+    seen = []
+    for cells in (vectors.ASKED_CELLS, 0):
+        monkeypatch.setattr(vectors, "ASKED_CELLS", cells)
+        seen.append({(r["query_id"], r["doc_id"]): (r["rank"], round(r["score"], 9)) for r in vectors.sparse_hits(*sides, 30).collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 150
+    monkeypatch.setattr(lexical, "MEETINGS", 50)
+    plan = lexical.bm25_scores(docs, asked)._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc_id" in plan and "REPARTITION_BY_NUM" in plan
