@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import time
 
 from kgspark.operators import graph_query as N
@@ -43,6 +45,25 @@ def test_work_is_linear_in_the_text_and_not_in_the_names():
     assert seconds(many, text) < 16 * seconds(many, text[:100_000]) and seconds(many, text) < 60 * seconds(few, text)
 
 
+def test_names_of_a_million_characters():
+    """In a process of its own: an automaton of that depth ended it with a segmentation fault."""
+    code = f"""if True:
+        import random
+        import sys
+        sys.path[:0] = {sys.path!r}
+        from kgspark.operators.names import Finder
+        rng = random.Random(4)
+        body = "".join(rng.choices("abcdefgh", k=1_000_000))
+        names = [body, body + "b", body[-2:] + "b", body[:10_000], body[:10_001], body[:10_001] + "x"]
+        finder = Finder(names)
+        for text in ("x" + body + "b", body[:10_001] + "x", body[:9_999]):
+            there = [n for n in names if n in text]
+            assert finder.find(text) == sorted(there, key=lambda n: (text.index(n) + len(n), -len(n)))
+    """
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stderr
+
+
 def test_longest_labels_win_and_ties_stay(spark):
     nodes = spark.createDataFrame([("n1", "graph"), ("n2", "graph store"), ("n3", "store one"), ("n4", "x"), ("n5", "graph store"), ("n6", None)], "name string, label string")
     asked = spark.createDataFrame([(1, "the graph store one"), (2, "a graph"), (3, "x"), (4, None)], "query_id long, text string")
