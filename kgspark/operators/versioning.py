@@ -13,7 +13,7 @@ from kgspark.functions import ids
 from kgspark.functions import patterns as P
 from kgspark.functions.text import squash
 
-from .scale import cut_lineage, next_value, previous_row
+from .scale import cut_lineage, next_value, previous_row, written
 
 # Fixed values.
 SIMILAR, SAME_PLACE, MOVED = 0.48, 0.25, 0.85
@@ -137,13 +137,14 @@ def compare_exact(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[Data
 def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Changes between decorated versions: (keys, kind, old_pos, new_pos, similarity).
 
-    Joins find what did not change. Only the remaining chunks of one document meet in a task.
+    Joins find what did not change. Only the remaining chunks of one document meet in a task. Either version is
+    written once, as its places and hashes are read by many joins and its texts by one.
     """
     keys = keys or ["doc_id"]
-    matches, a, b = compare_exact(old, new, keys)
-    body = squash(F.col("content"))
-    left = a.select(*keys, F.col("pos").cast("long").alias("old_pos"), F.col("anchor").alias("_a"), body.alias("_old"))
-    right = b.select(*keys, F.col("pos").cast("long").alias("new_pos"), F.col("anchor").alias("_b"), body.alias("_new"))
+    version = [*keys, "pos", "anchor", "content_hash", squash(F.col("content")).alias("_body")]
+    matches, a, b = compare_exact(written(old.select(version)), written(new.select(version)), keys)
+    left = a.select(*keys, F.col("pos").cast("long").alias("old_pos"), F.col("anchor").alias("_a"), F.col("_body").alias("_old"))
+    right = b.select(*keys, F.col("pos").cast("long").alias("new_pos"), F.col("anchor").alias("_b"), F.col("_body").alias("_new"))
     names = [*keys, "old_pos", "new_pos", "stays", "score"]
     kinds = [f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys))

@@ -61,3 +61,24 @@ def test_summary_counts_kinds_without_scoring_all_pairs(spark):
     new = [t + " revised 42" for t in lines[:200]] + lines[200:390]
     row = D.change_summary(D.compare(frame(lines), frame(new)), ["doc_id"]).first().asDict()
     assert row == {"doc_id": 1, "unchanged": 190, "added": 0, "modified": 200, "deleted": 10, "moved": 0, "changed": 210}
+
+
+def test_versions_are_computed_once(spark):
+    """Of every chunk the text is asked for once, although many joins read places and hashes."""
+    from pyspark.sql import functions as F
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        asked.add(1)
+        return text
+
+    def frame(rows):
+        plain = spark.createDataFrame([(i % 3, i // 3, t) for i, t in enumerate(rows)], "doc_id INT, pos INT, content STRING")
+        return plain.select("doc_id", "pos", F.explode(F.array(counted("content").alias("c"))).alias("content"))
+
+    lines = [f"line {i} of a version" for i in range(30)]
+    changes = D.compare(D.decorate(frame(lines)), D.decorate(frame(lines[:24] + ["something else 42"])))
+    assert sorted(r["kind"] for r in changes.collect()).count("unchanged") == 24
+    assert asked.value == 30 + 25
