@@ -196,3 +196,27 @@ def test_merging_in_two_batches_keeps_stored_sources_and_texts(spark):
         columns = sorted(want.columns)
         assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())), part
     assert [(r["src"], r["tgt"], r["weight"]) for r in later.edges.collect()] == [("A", "B", 3.0)]
+
+
+def test_best_pass_asks_for_every_record_once(spark):
+    """Records come from costly parsing, so they are not joined with themselves; unknown keys stay out."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        asked.add(1)
+        return text
+
+    rows = [("c", 0, 0, "A", "xx"), ("c", 0, 1, "A", "longest of all"), ("c", 1, 0, "A", "xxx"), ("c", 1, 1, "A", "y"), ("c", 0, 2, "B", "xy"), ("c", 1, 2, "B", "yx"), ("d", 2, 0, "B", "z"), (None, 0, 0, "B", "z"), ("d", 0, 0, None, "z")]
+    records = spark.createDataFrame(rows, "chunk_id string, pass int, pos int, name string, d string")
+    records = records.select("chunk_id", "pass", "pos", "name", F.explode(F.array(counted("d"))).alias("description"))
+    kept = sorted((r["chunk_id"], r["name"], r["pass"], r["pos"]) for r in G.best_pass(records, ["name"]).collect())
+    assert kept == [("c", "A", 1, 0), ("c", "A", 1, 1), ("c", "B", 0, 2), ("d", "B", 2, 0)]
+    assert asked.value <= len(rows)
+
+
+def test_texts_go_to_python_once(spark):
+    records = G.parse_records(extraction(spark, "entity<|#|>A &amp; B<|#|>t<|#|>x", ""))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [(r["pass"], r["pos"], r["fields"]) for r in records.collect()] == [(0, 0, ["entity", "A & B", "t", "x"])]
