@@ -8,7 +8,8 @@ Rabin-Karp modulo the prime 2**61 - 1, which has no strings that collide whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -26,6 +27,24 @@ PRIME = (1 << 61) - 1
 WORD_BASE = 0x1B873593D6E8FEB8 % PRIME
 WORD_SEED = 0x5EED2025
 _tables: dict[tuple[int, bool], np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Unused memory of this process to the system. Workers live on between tasks, and allocators keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def giving_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` over batches, which gives back unused memory when it ends."""
+
+    def giving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return giving
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -214,7 +214,7 @@ def train(df: DataFrame, labels: DataFrame, use: Column) -> dict:
         labels = np.concatenate([b.column(2).to_numpy() for b in held]) if held else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(Lines(texts), labels))])], ["model"])
 
-    found = rows.mapInArrow(learn, "model string").first()  # none where nothing is labelled
+    found = rows.mapInArrow(arrays.giving_back(learn), "model string").first()  # none where nothing is labelled
     return json.loads(found[0]) if found else {"share": 0.5}
 
 
@@ -235,4 +235,4 @@ def score_documents(df: DataFrame, model: dict, name: str = "score") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(score, f"{fields}, `{name}` double")
+    return df.mapInArrow(arrays.giving_back(score), f"{fields}, `{name}` double")

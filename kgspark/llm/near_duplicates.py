@@ -79,7 +79,7 @@ def _sketch(size: int):
                     ["doc_id", "n_shingles", "print1", "print2", "sketch"],
                 )
 
-    return sketch
+    return arrays.giving_back(sketch)
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _sets(size: int):
                 prints = [pa.array(p.view(np.int64)) for p in _prints(hashes, first)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(blobs, pa.binary()), *prints], ["member", "shingles", "print1", "print2"])
 
-    return sets
+    return arrays.giving_back(sets)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,6 +145,8 @@ def _compare(per_cent: int):
                 if 100 * common >= per_cent * (len(a) + len(b) - common):
                     found_a.append(names[i])
                     found_b.append(names[j])
+        del sets
+        arrays.give_back()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return compare
@@ -210,7 +212,12 @@ def _across(threshold: float):
             "rights": pa.array(rights, pa.list_(pa.int32())), "bytes": pa.array(size, pa.int64()),
         })
 
-    return across
+    def giving(key: tuple, table: pa.Table) -> pa.Table:
+        found = across(key, table)
+        arrays.give_back()
+        return found
+
+    return giving
 
 
 TILES = "members array<long>, lefts array<int>, rights array<int>, bytes long"
@@ -242,7 +249,7 @@ def near_duplicates(df: DataFrame, size: int = 5, per_cent: int = 80) -> DataFra
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & (F.col("_least").isNull() | (F.col("_least") == print_of)))
     classes = named.groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes.select("print1", "print2", F.col("n_shingles").alias("n"), "rep", "sketch"))
-    banded = classes.select("rep", "n", "sketch").mapInArrow(_band_rows, "bucket long, band int, rep long, n long")
+    banded = classes.select("rep", "n", "sketch").mapInArrow(arrays.giving_back(_band_rows), "bucket long, band int, rep long, n long")
     # Sums per bucket or centre are written before they are joined: a join of two shuffled tables can be
     # split where a key is hot, one with an aggregation on top of its shuffle cannot.
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size")).where("members > 1")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.arrays import giving_back
 from kgspark.llm.common import cut_lineage, number_rows
 from kgspark.llm.tokens import encode_rows
 
@@ -127,7 +128,7 @@ def cut_documents(df: DataFrame, path: str, end_id: int, capacity: int = CAPACIT
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{PIECES}, ids array<int>" if with_ids else PIECES
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(cut), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
