@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PART_ROWS = 500_000  # relations that one task puts in order
+
 
 def check_references(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Violations of the id rules: (kind, id).
 
     ``chunks`` (chunk_id, source_id), ``entities`` (entity_id, name, source_id), ``relations``
-    (relation_id, src_entity_id, tgt_entity_id, source_id).
+    (relation_id, src_entity_id, tgt_entity_id, source_id). Ids are shuffled and merged: a table of them looks
+    small by its file, so it would be broadcast, and every task would hold all ids. The number of parts grows with the
+    relations, so that what a task holds does not.
     """
-    known = chunks.select(F.col("chunk_id").alias("source_id")).distinct()
-    ends = entities.select("entity_id").distinct()
+    parts = max(relations.sparkSession.sparkContext.defaultParallelism, math.ceil(relations.count() / PART_ROWS))
+    known = chunks.select(F.col("chunk_id").alias("source_id")).repartition(parts, "source_id").distinct().hint("merge")
 
     def lost(rows, id_col, kind):
         return rows.select(F.lit(kind).alias("kind"), F.col(id_col).cast("string").alias("id"))
@@ -24,10 +29,11 @@ def check_references(chunks: DataFrame, entities: DataFrame, relations: DataFram
         lost(chunks.filter(F.col("source_id").isNotNull() & (F.col("source_id") != F.col("chunk_id"))), "chunk_id", "chunk_source"),
         lost(entities.join(known, "source_id", "left_anti"), "entity_id", "entity_source"),
         lost(entities.filter(F.col("name") == F.col("entity_id")), "entity_id", "entity_name"),
-        lost(relations.join(known, "source_id", "left_anti"), "relation_id", "relation_source"),
+        lost(relations.repartition(parts, "source_id").join(known, "source_id", "left_anti"), "relation_id", "relation_source"),
     ]
     for side in ("src_entity_id", "tgt_entity_id"):
-        missing = relations.join(ends.withColumnRenamed("entity_id", side), side, "left_anti")
+        ends = entities.select(F.col("entity_id").alias(side)).repartition(parts, side).distinct()
+        missing = relations.repartition(parts, side).join(ends.hint("merge"), side, "left_anti")
         found.append(lost(missing, "relation_id", f"relation_{side[:3]}"))
     return reduce(DataFrame.unionByName, found)
 
