@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,12 @@ def test_ids(one):
 
 def test_title_case(one):
     assert one("foo-bar1baz qux", G.title_case) == "Foo-Bar1Baz Qux"
+
+
+def test_lines_are_repaired_like_single_records(spark):
+    rng = random.Random(4)
+    marks = ["<|#|>", "<|##|>", "<||>", "<|#>", "<#|>", "<X#|>", "<|#| ", "||#||", "<<|#|>", "<|#||>", "<", "|", "#", ">", "\\", "a", "é", " "]
+    texts = ["\n".join("".join(rng.choice(marks) for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    each = F.array_join(F.transform(F.split("t", "\n", -1), X.repair_delimiters), "\n")
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    assert df.filter(X.repair_lines(F.col("t")) != each).collect() == []
