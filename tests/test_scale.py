@@ -1,5 +1,6 @@
 """The split helpers equal plain windows, also when one key holds most rows."""
 
+import os
 import random
 
 import pytest
@@ -112,3 +113,12 @@ def test_chunking_shuffles_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id LONG, text STRING")
     assert "Exchange" not in _plan(C.chunk_rows(docs, C.fixed_windows(F.col("text"), 2, 1)))
     assert "Exchange" not in _plan(C.text_units(docs))
+
+
+def test_written_tables_are_discarded(spark):
+    from kgspark.operators.scale import discard, written
+
+    table = written(spark.range(10))
+    files = table.inputFiles()
+    discard(table)
+    assert files and not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in files)
