@@ -1,6 +1,9 @@
 import math
 from hashlib import sha256
 
+from pyspark.sql import functions as F
+
+from kgspark.operators import graph_query as N
 from kgspark.operators.vectors import SLOTS, hashed_embedding
 from kgspark.plans.catalog import graph_query
 
@@ -50,3 +53,19 @@ def test_sparse_product_equals_the_join_and_the_lexical_parts_grow(spark, monkey
     monkeypatch.setattr(lexical, "MEETINGS", 50)
     plan = lexical.bm25_scores(docs, asked)._jdf.queryExecution().toString()
     assert "hashpartitioning(doc_id" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_hops_read_edges_that_are_worked_out_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        asked.add(1)
+        return name
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, tgt string")
+    edges = edges.select(F.explode(F.array(counted("src"))).alias("src"), "tgt", F.lit("").alias("label"))
+    seeds = spark.createDataFrame([(1, "a", 1.0, 1)], "query_id int, name string, seed_score double, position int")
+    paths = {(r["name"], r["hop"]) for r in N.expand_paths(seeds, edges, hops=3).collect()}
+    assert paths == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert asked.value <= 6
